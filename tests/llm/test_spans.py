@@ -1,0 +1,83 @@
+import hashlib
+import re
+
+from runstore.llm import licenses, pii
+
+DOCS = "doc_id long, text string, spans string, base string"
+KINDS = ("email", "ip", "card", "phone")
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def good(kind, x):
+    d = re.sub("[^0-9]", "", x)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in x.split("."))
+    if kind == "card":
+        return 12 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    return kind != "phone" or 9 <= len(d) <= 15
+
+
+def base(text):
+    out = [(m.start(), i, m.end(), k) for i, k in enumerate(KINDS) for m in re.finditer(PATTERNS[k], text or "") if good(k, m[0])]
+    return [f"{k}:{s}:{e}" for s, _, e, k in sorted(out)]
+
+
+TEXTS = [
+    None, "", "no data", "a@b.c a@b a.b@c-d.e.f. @x.y x@y.z@u.v a@b.c_x@d.e é@é.x 漢字 q@w.er", "1.2.3.4 1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.255 1.2.3 99999999999.1.1.1",
+    "4111 1111 1111 1111 and 4111-1111-1111-1112 4111111111111111 1 2 3 4 41111111111111111111111 30-2 4 4111  1111 1111 1111", "+1 (017) 555-7713 +49 30 123 +1234567890123456789 +1 2 3 4 5 6 7 8 9 -- +12..3456789 (0) x",
+    "😀 mail j@x.org, 😀😀 +44 20 7946 0958", "a" * 50_000 + "@" + "b." * 9000 + "c " + "1 " * 20_000 + "9" * 30_000, "+" * 3000 + "1" + " (" * 3000, "1.1" * 5000 + "." + "7-" * 9000,
+]
+
+
+def test_base_spans_match_the_plain_patterns(spark):
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(TEXTS)] + [(None, TEXTS[3], "", "")], DOCS)
+    for r in pii.personal_data(docs).collect():
+        want = base(TEXTS[3 if r.doc_id is None else r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), r
+        assert {f"n_{k}": sum(w.startswith(k) for w in want) for k in KINDS} == {f"n_{k}": r[f"n_{k}"] for k in KINDS}
+        assert set(want) <= set(r.spans.split(",")) | {""}
+    assert pii.personal_data(docs.limit(0)).count() == 0
+
+
+def test_documents_match_the_plain_patterns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = pii.personal_data(docs).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.base_sha256 == hashlib.sha256(",".join(base(texts[r.doc_id])).encode()).hexdigest()
+
+
+def test_added_spans_and_redaction(spark):
+    texts = ["my email is ann (at) mail dot com, thanks", "call me on (030) 555-0199 now", "part 123-456-7890 in the list", "we look at home. Then we go", "credit card 4111.1111.1111.1111 is mine", "server 2001:0db8:85a3:0000:0000:8a2e:0370:7334 up", "x j@x.org +44 20 7946 0958."]
+    docs = spark.createDataFrame([(i, t, "s", "b") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    assert [got[i].n_added for i in range(7)] == [1, 1, 0, 0, 1, 1, 0]
+    assert got[0].spans == "email:12:33"
+    text = {r.doc_id: r for r in pii.redacted(docs).collect()}
+    assert text[0].text == "my email is [EMAIL], thanks" and text[0].spans == "s" and text[0].base == "b"
+    assert text[3].text == texts[3]
+    assert text[6].text == "x [EMAIL] [PHONE]."
+
+
+def test_native_plan(spark):
+    docs = spark.createDataFrame([(1, "a@b.c", "", "")], DOCS)
+    plan = pii.personal_data(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_licenses(spark):
+    mit = licenses.NOTICES["MIT"]
+    texts = ["x\nReleased under the MIT License.\ny", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.", "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU General Public License, version 3.",
+             None, "", "the license of the driver was lost in the river", mit.replace("sublicense", "sub-license"), "word " * 400 + ". Licensed under the Apache License, Version 2.0. " + "word " * 400, "no cue", "licence " * 20000]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r for r in licenses.scanned(docs).collect()}
+    assert {i: r.license for i, r in got.items()} == {0: "MIT", 1: "CC-BY-NC-4.0", 2: "CC-BY-SA-4.0", 3: "GPL-2.0", 4: "GPL-3.0", 8: "MIT", 9: "Apache-2.0"}
+    assert got[0].exact and got[0].start == 2 and not got[8].exact and got[8].n_missing == got[8].n_added == 1
+    assert all(r.given_bytes < r.plain_bytes for r in got.values())
+    assert licenses.scanned(docs.limit(0)).count() == 0
