@@ -130,3 +130,45 @@ def grams(word: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     total = mix64(total)
     total[owner[:m] != owner[n - 1 :]] = 0
     return np.concatenate([total, np.zeros(n - 1, np.uint64)])
+
+
+def sliding(x: np.ndarray, width: int, pick: np.ufunc, fill: int) -> np.ndarray:
+    """pick (minimum or maximum) over each `width` neighbours of x, in two scans of blocks."""
+    n = len(x)
+    if n < width:
+        return x[:0]
+    full = np.full(-(-n // width) * width, fill, x.dtype)
+    full[:n] = x
+    block = full.reshape(-1, width)
+    ahead = pick.accumulate(block, axis=1).ravel()
+    back = pick.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
+    return pick(back[: n - width + 1], ahead[width - 1 : n])
+
+
+def minimizers(v: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
+    """Places that hold the least value of some valid window; window s is v[s : s + width], all v > 0. Ties all count, so equal texts choose alike."""
+    least = sliding(v, width, np.minimum, np.iinfo(np.uint64).max)
+    if not len(least):
+        return np.zeros(len(v), bool)
+    edge = np.zeros(width - 1, np.uint64)
+    least = np.concatenate([edge, np.where(valid[: len(least)], least, 0), edge])
+    return sliding(least, width, np.maximum, 0) == v
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int, least: int = 65536) -> Iterator[list[np.ndarray]]:
+    """Integer columns of sorted batches, dealt anew so that rows with equal leading `keys` columns stay together."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if sum(len(x[0]) for x in held) < least:
+            continue
+        rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+        same = np.logical_and.reduce([c == c[-1] for c in rows[:keys]])
+        cut = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
+        if cut:
+            yield [c[:cut] for c in rows]
+        held = [[c[cut:] for c in rows]]
+    if held and len(held[0][0]):
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
