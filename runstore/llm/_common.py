@@ -145,14 +145,27 @@ def sliding(x: np.ndarray, width: int, pick: np.ufunc, fill: int) -> np.ndarray:
     return pick(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def minimizers(v: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
-    """Places that hold the least value of some valid window; window s is v[s : s + width], all v > 0. Ties all count, so equal texts choose alike."""
+def minimizers(v: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that hold the least value of some valid window, and the first and last such window of each.
+
+    Window s is v[s : s + width], and all v > 0. Places with the same value all count, so that equal texts choose alike.
+    """
     least = sliding(v, width, np.minimum, np.iinfo(np.uint64).max)
     if not len(least):
-        return np.zeros(len(v), bool)
+        none = np.zeros(0, np.int64)
+        return none, none, none
     edge = np.zeros(width - 1, np.uint64)
-    least = np.concatenate([edge, np.where(valid[: len(least)], least, 0), edge])
-    return sliding(least, width, np.maximum, 0) == v
+    least = np.where(valid[: len(least)], least, 0)
+    place = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), width, np.maximum, 0) == v)
+    # the windows of a place are neighbours: among the runs of equal least values near it, one has its value
+    begin = np.flatnonzero(np.diff(least, prepend=least[0] + np.uint64(1)))
+    value, end = least[begin], np.append(begin[1:], len(least)) - 1
+    run = np.searchsorted(end, place - (width - 1))
+    open_ = np.flatnonzero(value[run] != v[place])
+    while len(open_):
+        run[open_] += 1
+        open_ = open_[value[run[open_]] != v[place[open_]]]
+    return place, np.maximum(begin[run], place - (width - 1)), np.minimum(end[run], place)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int, least: int = 65536) -> Iterator[list[np.ndarray]]:

@@ -1,15 +1,16 @@
 """Exact repeats: every byte covered by a `LENGTH`-byte string that starts anywhere else goes.
 
-Finding what to compare: a window of LENGTH bytes is represented by its anchors, the least of its 64-byte grams by hash.
+Finding what to compare: a window of LENGTH bytes is represented by its anchors, the least of its GRAM-byte grams by hash.
 Equal windows have equal anchors at equal places, so a window can repeat only where the hash of an anchor of it does. Per
-anchor a hash of its context (all bytes that any window around it can hold) is kept, too. Anchors whose hash and context
+anchor a hash of its context (all bytes of the windows whose anchor it is) is kept, too. Anchors whose hash and context
 occur twice are covered as a whole. Of the other anchors with a repeated hash, one context per (hash, context hash) goes on.
 
 Comparing: the contexts of one anchor hash meet in a task, which builds a suffix array by two-stage sorting: only
 suffixes smaller than their successors are sorted directly; the larger ones are induced by one scan over the buckets
 of first bytes. Then the common prefixes of neighbours are computed; windows of at least LENGTH common bytes that start
-at different places repeat. An anchor with more than `most` differing contexts is not given to one task: its windows
-are counted by hash, window by window, with a distributed aggregation.
+at different places repeat. The contexts of an anchor hash with more than `most` of them are not given to one task: each is cut into
+pieces of 16 windows, by their places around the anchor, and the pieces are grouped anew by the bytes that all their
+windows hold. Groups that are still as large are cut into single windows, whose groups need no comparing.
 
 Rows are told apart by a hash of id and text; rows that repeat both are documents of their own, and so repeat each other.
 Nulls and edges: a null text is empty; texts shorter than LENGTH lose nothing; bytes are judged on the input, never on
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._common import minimizers, mix64, powers, stored
 
-LENGTH, GRAM = 200, 64
+LENGTH, GRAM = 200, 100
 BACK = LENGTH - GRAM  # an anchor lies at most so far behind a window's start
 _PART = 1 << 20
 
@@ -68,7 +69,7 @@ def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """rid, pos, h (of the anchor's gram), c (of its context)."""
+    """rid, s, n, at, h, c: n bytes from s on are an anchor's context, it lies `at` bytes in; h is the hash of its gram, c of the context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, about in parts(batches):
@@ -82,14 +83,16 @@ def anchors(docs: DataFrame) -> DataFrame:
             for (_, at, begin, lo, hi), stop in zip(about, end.tolist(), strict=True):
                 valid[at : max(at, stop - LENGTH + 1)] = True
                 answer[at + lo - begin : at + hi - begin] = True
-            p = np.flatnonzero(minimizers(v, valid, BACK + 1) & answer)
+            p, first, last = minimizers(v, valid, BACK + 1)
+            p, first, last = p[answer[p]], first[answer[p]], last[answer[p]]
             own = np.searchsorted(place, p, side="right") - 1
-            low, high = np.maximum(p - BACK, place[own]), np.minimum(p + LENGTH, end[own])
+            low, high = first, last + LENGTH
             c = mix64((total[high] - total[low]) * q[low] + (p - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (high - p).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
             rid, begin = np.array([x[0] for x in about], np.int64), np.array([x[2] for x in about])
-            yield pa.RecordBatch.from_arrays([pa.array(rid[own]), pa.array((p - place[own] + begin[own]).astype(np.int64)), pa.array(v[p].view(np.int64)), pa.array(c.view(np.int64))], names=["rid", "pos", "h", "c"])
+            move = begin[own] - place[own]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[own]), pa.array(low + move), pa.array((high - low).astype(np.int32)), pa.array((p - low).astype(np.int32)), pa.array(v[p].view(np.int64)), pa.array(c.view(np.int64))], names=["rid", "s", "n", "at", "h", "c"])
 
-    return docs.select(key().alias("rid"), F.col("text").cast("binary")).mapInArrow(run, "rid long, pos long, h long, c long")
+    return docs.select(key().alias("rid"), F.col("text").cast("binary")).mapInArrow(run, "rid long, s long, n int, at int, h long, c long")
 
 
 def suffix_order(t: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -196,66 +199,91 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answer(held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """w, rid, s: hash and place of every window of the contexts."""
-    for batch in batches:
-        for _, rid, start, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            total, q = prefix_hash(np.frombuffer(context, np.uint8))
-            n = len(context) - LENGTH + 1
-            w = mix64((total[LENGTH:] - total[:n]) * q[:n])
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(n, rid)), pa.array(start + np.arange(n))], names=["w", "rid", "s"])
+def _pieces(width: int):
+    """A function that cuts contexts (h, rid, start, at, context; `at` is the anchor's place in the context) into pieces of `width` windows: h then hashes what all of a piece's windows hold, c the piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, rid, start, at, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total, q = prefix_hash(np.frombuffer(context, np.uint8))
+                last = len(context) - LENGTH
+                cut = [0, *(x for x in range(1, last + 1) if (at - x + 1) % width == 0), last + 1]  # between windows, by their distance from the anchor
+                begin, end = np.array(cut[:-1]), np.array(cut[1:]) - 1
+                near = ((at - begin) // width).astype(np.uint64)
+                low, high = at - near.astype(np.int64) * width, at - near.astype(np.int64) * width - width + 1 + LENGTH
+                core = mix64((total[np.minimum(high, len(context))] - total[np.maximum(low, 0)]) * q[np.maximum(low, 0)] + near)
+                c = mix64((total[end + LENGTH] - total[begin]) * q[begin] + (at - begin).astype(np.uint64) * np.uint64(1 << 20) + (end - begin).astype(np.uint64))
+                for i, (x, y) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+                    out.append((int(core[i].view(np.int64)) ^ h, int(c[i].view(np.int64)), rid, start + x, at - x, context[x : y + LENGTH]))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["h", "c", "rid", "start", "at", "context"])
+
+    return run
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc_id, data, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        ranges = batch.column(2)
+        for i, (doc_id, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             data = data or b""
-            kept, at, removed, n = hashlib.sha256(), 0, 0, 0
-            open_ = None
-            for s, e in sorted((x["s"], min(x["e"], len(data))) for x in ranges or []):
-                if open_ is not None and s <= open_:
-                    if e > open_:
-                        removed += e - open_
-                        open_ = e
-                    continue
-                kept.update(data[at if open_ is None else open_ : s])
-                removed, n, open_ = removed + e - s, n + 1, e
-            kept.update(data[open_ or 0 :])
-            out.append((doc_id, len(data), removed, n, kept.hexdigest()))
+            x = ranges[i].values
+            if x is None:
+                out.append((doc_id, len(data), 0, 0, hashlib.sha256(data).hexdigest()))
+                continue
+            s, e = (np.asarray(x.field(k)) for k in (0, 1))
+            order = np.argsort(s, kind="stable")
+            s, e = s[order], np.maximum.accumulate(np.minimum(e[order], len(data)))
+            new = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
+            first, last = s[new], e[np.append(new[1:], len(s)) - 1]
+            kept = hashlib.sha256()
+            for a, b in zip([0, *last.tolist()], [*first.tolist(), len(data)], strict=True):
+                kept.update(data[a:b])
+            out.append((doc_id, len(data), int((last - first).sum()), len(new), kept.hexdigest()))
         kinds = [pa.int64()] * 4 + [pa.string()]
         columns = list(zip(*out, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def covered(docs: DataFrame, most: int = 2048) -> DataFrame:
-    """rid, s, e: ranges of bytes that windows with another occurrence cover (ranges may overlap, and pass the text's end)."""
-    at = anchors(docs)
-    held = at.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n > 1")
-    shared = stored(at.join(held.select("h", (F.col("low") == F.col("high")).alias("one")), "h").select("rid", "pos", "h", "c", "one"))
-    whole = [F.greatest(F.lit(0), F.col("pos") - BACK).alias("s"), (F.col("pos") + LENGTH).alias("e")]
+def covered(docs: DataFrame, most: int = 4096) -> DataFrame:
+    """rid, s, e: ranges of bytes that windows with another occurrence cover (ranges may overlap)."""
+    at = stored(anchors(docs))
+    held = at.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("low"), F.max("c").alias("high")).filter("times > 1")
+    held = stored(held.select("h", (F.col("low") == F.col("high")).alias("one")))  # a plain table: a hot h can then be split in the join
+    shared = stored(at.join(held, "h"))
+    end = (F.col("s") + F.col("n")).alias("e")
     mixed = shared.filter("not one")
-    kinds = mixed.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min_by("pos", "rid").alias("pos"))
-    kinds = stored(kinds)
-    twice = mixed.join(kinds.filter("n > 1").select("h", "c"), ["h", "c"])
-    out = shared.filter("one").select("rid", *whole).unionByName(twice.select("rid", *whole))
+    kinds = stored(mixed.groupBy("h", "c").agg(F.count("*").alias("times"), F.min("rid").alias("rid"), F.min_by("s", "rid").alias("s"), F.min("n").alias("n"), F.min("at").alias("at")))
+    twice = mixed.join(kinds.filter("times > 1").select("h", "c"), ["h", "c"])
+    out = shared.filter("one").select("rid", "s", end).unionByName(twice.select("rid", "s", end))
     text = docs.select(key().alias("rid"), F.col("text").cast("binary").alias("text"))
-    begin = F.greatest(F.lit(0), F.col("pos") - BACK)
-    context = kinds.join(text, "rid").select("h", "rid", begin.alias("start"), F.substr("text", (begin + 1).cast("int"), (F.col("pos") + LENGTH - begin).cast("int")).alias("context"))
-    large = kinds.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("h")
-    large = stored(large)
-    if large.isEmpty():
-        usual = context
-    else:
+    context = kinds.join(text, "rid").select("h", "rid", F.col("s").alias("start"), "at", F.substr("text", (F.col("s") + 1).cast("int"), F.col("n")).alias("context"))
+    large = stored(kinds.groupBy("h").agg(F.count("*").alias("times")).filter(F.col("times") > most).select("h"))
+    for width in (16, 1):
+        if large.isEmpty():
+            break
         context = stored(context)
-        usual = context.join(large, "h", "left_anti")
-        window = stored(context.join(large, "h").select("h", "rid", "start", "context").mapInArrow(_windows, "w long, rid long, s long"))
-        again = window.groupBy("w").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.min("s").alias("c"), F.max("s").alias("d")).filter("a <> b or c <> d").select("w")
-        out = out.unionByName(window.join(again, "w").select("rid", "s", (F.col("s") + LENGTH).alias("e")))
-    return out.unionByName(usual.repartition("h").sortWithinPartitions("h").mapInArrow(_compared, "rid long, s long, e long"))
+        out = out.unionByName(_sorted(context.join(large, "h", "left_anti")))
+        piece = stored(context.join(large, "h").select("h", "rid", "start", "at", "context").mapInArrow(_pieces(width), "h long, c long, rid long, start long, at int, context binary"))
+        ranges = [F.min("rid") != F.max("rid"), F.min("start") != F.max("start")]
+        held = piece.groupBy("h").agg((ranges[0] | ranges[1]).alias("again"), (F.min("c") == F.max("c")).alias("one")).filter("again").select("h", "one")
+        shared = stored(piece.join(stored(held), "h"))
+        mixed = shared.filter("not one")
+        kinds = stored(mixed.groupBy("h", "c").agg((ranges[0] | ranges[1]).alias("again"), F.min("rid").alias("rid"), F.min_by("start", "rid").alias("start"), F.min("at").alias("at"), F.min("context").alias("context")))
+        again = shared.filter("one").drop("one", "c").unionByName(mixed.join(kinds.filter("again").select("h", "c"), ["h", "c"]).drop("one", "c"))
+        out = out.unionByName(again.select("rid", F.col("start").alias("s"), (F.col("start") + F.length("context")).alias("e")))
+        context = kinds.select("h", "rid", "start", "at", "context")
+        large = stored(kinds.groupBy("h").agg(F.count("*").alias("times")).filter(F.col("times") > most).select("h"))
+    return out.unionByName(_sorted(context))
+
+
+def _sorted(context: DataFrame) -> DataFrame:
+    return context.select("h", "rid", "start", "context").repartition("h").sortWithinPartitions("h").mapInArrow(_compared, "rid long, s long, e long")
 
 
-def without_repeats(docs: DataFrame, *, most: int = 2048) -> DataFrame:
+def without_repeats(docs: DataFrame, *, most: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranges = stored(covered(docs, most)).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
