@@ -128,6 +128,46 @@ def counted(docs: DataFrame, block: Block) -> dict[int, int]:
     return {r.g & (1 << 64) - 1: r.n for r in out.toLocalIterator()}
 
 
+def found_in(b: Block, texts: list[str], threshold: float) -> dict[tuple[int, int], tuple[float, int, int, int, int]]:
+    """(text, item): score, place, matched words, first and last word of the best passage, where it reaches the threshold."""
+    word, owner, at, of = b.hits(texts)
+    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    shifts: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for p, g in zip(at.tolist(), of.tolist(), strict=True):
+        for item_id, k in b.where[g]:
+            shifts[item_id, int(owner[p])].append(p - k)
+    work: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for (item_id, d), places in shifts.items():
+        m = len(b.items[item_id])
+        places.sort()
+        slack = 4 + m // 4
+        group = [places[0], places[0]]
+        for x in [*places[1:], None]:
+            if x is not None and x - group[1] <= slack and x - group[0] <= 2 * m:
+                group[1] = x
+                continue
+            work[item_id].append((d, max(int(first[d]), group[0] - slack), min(int(first[d + 1]), group[1] + m + slack)))
+            group = [x, x]
+    found: dict[tuple[int, int], tuple] = {}
+    for item_id, parts in work.items():
+        item = b.items[item_id]
+        parts.sort(key=lambda x: x[2] - x[1])
+        for i in range(0, len(parts), 256):
+            some = parts[i : i + 256]
+            width = max(hi - lo for _, lo, hi in some)
+            grid = np.zeros((len(some), width), np.uint64)
+            for r, (_, lo, hi) in enumerate(some):
+                grid[r, : hi - lo] = word[lo:hi]
+            score, end = align(item, grid)
+            for (d, lo, _), s, e in zip(some, score.tolist(), end.tolist(), strict=True):
+                share = s / (2 * len(item))
+                if share >= threshold and (share, -lo) > found.get((d, item_id), (0.0,))[:2]:
+                    last = lo + e - 1
+                    matched = int(np.isin(item, word[max(lo, last - 2 * len(item)) : last + 1]).sum())
+                    found[d, item_id] = (share, -lo, matched, lo - int(first[d]), last - int(first[d]))
+    return found
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, window: int = 4, threshold: float = 0.5, block_bytes: int = 1 << 24) -> DataFrame:
     """doc_id, item_id, score, n_matched, first_word, last_word: for each document and item above the threshold its best passage."""
     spark = docs.sparkSession
@@ -138,46 +178,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, window: int = 4,
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, window: int = 4, threshold: float = 0.5, block_bytes: int = 1 << 24) -> DataFrame:
+    """The rows of docs, as they are, that hold no passage of the benchmark."""
+    kind, whole = docs.schema, docs
+    for block in blocks(benchmark, n, block_bytes):
+        block.keep_seeds(counted(whole, block), window)
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch, texts in chunks(batches):
+                keep = np.ones(len(texts), bool)
+                keep[[d for d, _ in found_in(shared.value, texts, threshold)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, kind)
+    return docs
+
+
 def _aligned(docs: DataFrame, shared, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b: Block = shared.value
         for batch, texts in chunks(batches):
-            word, owner, at, of = b.hits(texts)
-            first = np.searchsorted(owner, np.arange(len(texts) + 1))
-            shifts: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for p, g in zip(at.tolist(), of.tolist(), strict=True):
-                for item_id, k in b.where[g]:
-                    shifts[item_id, int(owner[p])].append(p - k)
-            work: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-            for (item_id, d), places in shifts.items():
-                m = len(b.items[item_id])
-                places.sort()
-                slack = 4 + m // 4
-                group = [places[0], places[0]]
-                for x in [*places[1:], None]:
-                    if x is not None and x - group[1] <= slack and x - group[0] <= 2 * m:
-                        group[1] = x
-                        continue
-                    work[item_id].append((d, max(int(first[d]), group[0] - slack), min(int(first[d + 1]), group[1] + m + slack)))
-                    group = [x, x]
-            found: dict[tuple[int, int], tuple] = {}
-            for item_id, parts in work.items():
-                item = b.items[item_id]
-                parts.sort(key=lambda x: x[2] - x[1])
-                for i in range(0, len(parts), 256):
-                    some = parts[i : i + 256]
-                    width = max(hi - lo for _, lo, hi in some)
-                    grid = np.zeros((len(some), width), np.uint64)
-                    for r, (_, lo, hi) in enumerate(some):
-                        grid[r, : hi - lo] = word[lo:hi]
-                    score, end = align(item, grid)
-                    for (d, lo, _), s, e in zip(some, score.tolist(), end.tolist(), strict=True):
-                        share = s / (2 * len(item))
-                        if share >= threshold and (share, -lo) > found.get((d, item_id), (0.0,))[:2]:
-                            last = lo + e - 1
-                            matched = int(np.isin(item, word[max(lo, last - 2 * len(item)) : last + 1]).sum())
-                            found[d, item_id] = (share, -lo, matched, lo - int(first[d]), last - int(first[d]))
-            if found:
+            if found := found_in(shared.value, texts, threshold):
                 ids = batch.column("doc_id")
                 cols = zip(*((ids[d].as_py(), i, s, m, a, z) for (d, i), (s, _, m, a, z) in sorted(found.items())), strict=True)
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import chunks
+
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -123,50 +125,63 @@ def learned(docs: DataFrame, allowed: Column, *, per_language: int = 400, seed:
     return net
 
 
+def judged(net: Network | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    total = np.zeros((len(texts), len(net.languages) if net else 1))
+    rows: list[np.ndarray] = []
+    owner: list[int] = []
+    share: list[float] = []
+
+    def flush() -> None:
+        x = np.concatenate(rows)
+        for i in range(0, len(x), 128):
+            np.add.at(total, owner[i : i + 128], net.probabilities(x[i : i + 128]) * np.array(share[i : i + 128])[:, None])
+        rows.clear(), owner.clear(), share.clear()
+
+    for i, text in enumerate(texts):
+        if net is None or not text or not _LETTER.search(text):
+            continue
+        data = text.encode(errors="replace")
+        full = windows(data)
+        for k in range(0, len(full), 2048):
+            part = full[k : k + 2048]
+            rows.append(part)
+            owner += [i] * len(part)
+            share += [min(WINDOW, len(data) - WINDOW * j) / len(data) for j in range(k, k + len(part))]
+            if len(owner) >= 2048:
+                flush()
+    if owner:
+        flush()
+    known = total.sum(axis=1) > 0
+    lang = [net.languages[j] if ok else "und" for j, ok in zip(total.argmax(axis=1).tolist(), known.tolist(), strict=True)]
+    return lang, np.where(known, np.minimum(total.max(axis=1), 1.0), 0.0)
+
+
 def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs; nothing but the text is read for a prediction."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
-
-        def flush(rows: list[np.ndarray], owner: list[int], share: list[float], total: np.ndarray) -> None:
-            x = np.concatenate(rows)
-            for i in range(0, len(x), 128):
-                p = net.probabilities(x[i : i + 128]) * np.array(share[i : i + 128])[:, None]
-                np.add.at(total, owner[i : i + 128], p)
-            rows.clear(), owner.clear(), share.clear()
-
-        for b in batches:
-            texts = b.column("text")
-            total = np.zeros((b.num_rows, len(net.languages) if net else 1))
-            rows: list[np.ndarray] = []
-            owner: list[int] = []
-            share: list[float] = []
-            for i in range(b.num_rows):
-                text = texts[i].as_py()
-                if net is None or not text or not _LETTER.search(text):
-                    continue
-                data = text.encode(errors="replace")
-                full = windows(data)
-                for k in range(0, len(full), 2048):
-                    part = full[k : k + 2048]
-                    rows.append(part)
-                    owner += [i] * len(part)
-                    share += [min(WINDOW, len(data) - WINDOW * j) / len(data) for j in range(k, k + len(part))]
-                    if len(owner) >= 2048:
-                        flush(rows, owner, share, total)
-            if owner:
-                flush(rows, owner, share, total)
-            known = total.sum(axis=1) > 0
-            best = total.argmax(axis=1)
-            lang = [net.languages[j] if ok else "und" for j, ok in zip(best.tolist(), known.tolist(), strict=True)]
-            score = np.where(known, np.minimum(total.max(axis=1), 1.0), 0.0)
+        for b, texts in chunks(batches):
+            lang, score = judged(shared.value, texts)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, net: Network | None, least: float = 0.5) -> DataFrame:
+    """The rows of docs, as they are, whose language is told with a score of `least` or more; all rows if nothing was learned."""
+    if net is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts in chunks(batches):
+            yield b.filter(pa.array(judged(shared.value, texts)[1] >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def third(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3))
 

@@ -36,7 +36,7 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Generators: kind, pattern, and what a text must have for the pattern to be tried.
 GENERATORS = {
-    "email_words": ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{1,63}+){1,5}+", r"(?i)[(\[{ ]at[)\]} ]"),
+    "email_words": ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?:(?: ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot |\.)[A-Za-z0-9-]{1,63}+){1,5}+| at [A-Za-z0-9-]{1,63}+(?: dot [A-Za-z0-9-]{1,63}+){1,5}+)", r"(?i)[(\[{ ]at[)\]} ]"),
     "phone_national": ("phone", r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,5}\) ?|0[0-9]{1,4}[ /.-]|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,5}(?![0-9A-Za-z])", None),
     "ip_six": ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", "[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
     "card_odd": ("card", r"(?<![0-9A-Za-z])[0-9]{4}(?:[./_]|  |, )[0-9]{4}(?:[./_]|  |, )[0-9]{4}(?:[./_]|  |, )[0-9]{1,4}(?![0-9A-Za-z])", None),
@@ -144,8 +144,8 @@ def training(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
     check = F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.lit(0), lambda a, i: a + F.when(luhn(F.concat(fifteen, i.cast("string"))), i).otherwise(0))
     sixteen = F.concat(fifteen, F.when(good, check).otherwise((check + 3) % 10).cast("string"))
     value = (
-        F.when(shape == 0, F.when(good, F.concat(pick(7, ["ann", "j.doe", "info", "kim88"]), pick(8, [" (at) ", "[at]", " at "]), pick(9, ["mail", "post-box", "uni"]), pick(10, [" dot ", "[dot]", "."]), pick(11, ["com", "org", "net"])))
-               .otherwise(F.concat(pick(7, ["look", "meet", "was", "stay"]), F.lit(" at "), pick(9, ["noon", "home", "3", "page"]), F.lit(". "), pick(11, ["Then", "It", "He"]))))
+        F.when(shape == 0, F.when(good, F.concat(pick(7, ["ann", "j.doe", "info", "kim88"]), pick(8, [" (at) ", "[at]", " at "]), pick(9, ["mail", "post-box", "uni"]), F.when(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(3)) == 2, " dot ").otherwise(pick(10, [" dot ", "[dot]", "."])), pick(11, ["com", "org", "net"])))
+               .otherwise(F.concat(pick(7, ["look", "meet", "was", "stay"]), F.lit(" at "), pick(9, ["the", "one", "every", "page"]), F.lit(" dot "), pick(11, ["then", "of", "he"]))))
         .when(shape == 1, F.concat(F.when(good, F.lit("(")).otherwise(F.lit("")), number(12, 3), F.when(good, F.lit(") ")).otherwise(sep), number(13, 3), sep, number(14, 4)))
         .when(shape == 2, F.concat_ws(":", *[F.when(good, group(20 + k)).otherwise(number(30 + k, 2)) for k in range(8)]))
         .otherwise(F.concat(*[x for k in range(4) for x in (F.substring(sixteen, 4 * k + 1, 4), odd)][:-1]))

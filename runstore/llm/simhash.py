@@ -202,3 +202,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, distance: int = 4, til
     named = nodes.join(root, nodes.rep == root.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     out = rows.filter("doc_id is not null").join(named, "fp").unionByName(rows.filter("doc_id is null").withColumn("component_id", F.lit(None).cast("long")))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that with the least doc_id; rows with a null id stay, and of rows that share an id one stays."""
+    named = stored(near_duplicates(docs, **options))
+    kept = named.filter("doc_id = component_id").select("doc_id").distinct()
+    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    if not named.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.filter("doc_id is null"))
