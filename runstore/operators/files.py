@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def key_to_files(keys: DataFrame, files: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
-    """Each key with the files whose range holds it. A catalogue of up to broadcast_rows rows is sent to all tasks; a larger one
-    is cut by its levels of non-overlapping files: there the last file that starts at or before the key is the only candidate.
+def key_to_files(keys: DataFrame, files: DataFrame, broadcast_rows: int = 100_000, slices: int = 256) -> DataFrame:
+    """Each key with the files whose range holds it.
+
+    A catalogue of up to broadcast_rows rows is sent to all tasks. A larger one is joined by slices of the key space, cut at some
+    of the files' first keys: a file goes to every slice that it reaches, a key to one.
     """
     on = F.col("key").between(F.col("first_key"), F.col("last_key"))
-    if files.count() <= broadcast_rows:
+    n = files.count()
+    if n <= broadcast_rows:
         return keys.join(F.broadcast(files), on)
-    starts = files.select(F.col("first_key").alias("at"), F.struct("id", "level", "first_key", "last_key").alias("f"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("key"), "level")
-    asks = keys.crossJoin(files.select("level").distinct()).select(F.col("key").alias("at"), F.lit(None).cast(starts.schema["f"].dataType).alias("f"), F.lit(1).alias("kind"), "key", "level")
-    w = W.partitionBy("level", F.substring("at", 1, 2)).orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
-    out = starts.unionByName(asks).withColumn("f", F.last("f", True).over(w)).filter("kind = 1 and f is not null").select("key", "f.*")
-    return out.filter(on)
+    some = files.filter(F.pmod(F.xxhash64("first_key"), F.lit(max(1, n // slices))) == 0)  # where to cut changes no answer
+    cuts = sorted({r.first_key for r in some.select("first_key").limit(4 * slices).collect()}, key=str.encode)
+    cut = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<string>")
+
+    def slice_of(c: str) -> Column:
+        return F.size(F.filter(cut, lambda x: x <= F.col(c)))
+
+    reached = files.withColumn("slice_", F.explode(F.sequence(slice_of("first_key"), F.greatest(slice_of("first_key"), slice_of("last_key")))))
+    return keys.withColumn("slice_", slice_of("key")).join(reached, "slice_").filter(on).drop("slice_")
 
 
 def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -170,7 +170,7 @@ class Store:
             out = rows.repartitionByRange("key").sortWithinPartitions("key")
         writer = out.write.option("compression", self.options.compression)
         if self.options.bloom:
-            writer = writer.option("parquet.bloom.filter.enabled#key", "true")
+            writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")  # else a megabyte for any file
         writer.parquet(folder)
         stats = self.spark.read.schema(VERSION).parquet(folder).groupBy(F.col("_metadata.file_path").alias("path")).agg(
             F.max("_metadata.file_size").alias("bytes"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("rows"), F.max("seq").alias("max_seq"))
