@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from runstore.llm import decontam, langid, mixing, pii, simhash
 from runstore.llm._common import stored, table
 
+#: Just above what four languages score by chance: very short texts stay.
+LEAST_SCORE = 0.3
+
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without letters, or told with a score below 0.5, go."""
-    return langid.accepted(docs, langid.learned(docs, langid.third(F.col("doc_id")) != 1))
+    """Documents whose language is told; those without letters, or told with a score below LEAST_SCORE, go."""
+    return langid.accepted(docs, langid.learned(docs, langid.third(F.col("doc_id")) != 1), LEAST_SCORE)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

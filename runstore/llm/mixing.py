@@ -48,11 +48,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: floa
     return x.select("source", "source_size", F.coalesce(F.least("ceiling", F.col("share") * F.col("level")), F.col("ceiling")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, quality: DataFrame | None = None, seed: int = 17, buckets: int = 256) -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, quality: DataFrame | None = None, seed: int = 17, buckets: int | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: how often, and with how many words in all, each row of docs is taken.
 
-    quality: (doc_id, weight), one row per id; ids without a row weigh 1. copies never exceeds `most`.
+    quality: (doc_id, weight), one row per id; ids without a row weigh 1. copies never exceeds `most`. buckets changes no result:
+    by default there is one for every 100 000 rows, and 256 at least.
     """
+    buckets = buckets or max(256, docs.count() // 100_000)
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 1) / F.lit(float(1 << 48) + 1)
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), u.alias("u"))
     if quality is None:
