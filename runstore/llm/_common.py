@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,17 @@ def _clean() -> None:
             return
 
 
+class Shared:
+    """A broadcast of any object of this package: its class travels by value, too."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @cached_property
+    def value(self):
+        return pickle.loads(self._sent.value)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with about `most` characters of text each; null texts come as empty ones."""
     for batch in batches:

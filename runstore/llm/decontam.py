@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, grams, words
+from ._common import Shared, chunks, grams, words
 
 HIT = "doc_id long, item_id long, score double, n_matched int, first_word int, last_word int"
 _BITS = np.uint64((1 << 22) - 1)
@@ -112,7 +112,7 @@ def blocks(benchmark: DataFrame, n: int, block_bytes: int) -> Iterator[Block]:
 
 def counted(docs: DataFrame, block: Block) -> dict[int, int]:
     """In how many rows of docs each n-gram of the block occurs."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared = Shared(docs.sparkSession, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
@@ -174,7 +174,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, window: int = 4,
     out = spark.createDataFrame([], HIT)
     for block in blocks(benchmark, n, block_bytes):
         block.keep_seeds(counted(docs, block), window)
-        out = out.union(_aligned(docs, spark.sparkContext.broadcast(block), threshold))
+        out = out.union(_aligned(docs, Shared(spark, block), threshold))
     return out
 
 
@@ -183,7 +183,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, window: int = 4,
     kind, whole = docs.schema, docs
     for block in blocks(benchmark, n, block_bytes):
         block.keep_seeds(counted(whole, block), window)
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = Shared(docs.sparkSession, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch, texts in chunks(batches):
@@ -195,7 +195,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, window: int = 4,
     return docs
 
 
-def _aligned(docs: DataFrame, shared, threshold: float) -> DataFrame:
+def _aligned(docs: DataFrame, shared: Shared, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
             if found := found_in(shared.value, texts, threshold):

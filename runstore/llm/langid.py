@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks
+from ._common import Shared, chunks
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
 _LETTER = re.compile(r"[^\W\d_]")
@@ -159,7 +159,7 @@ def judged(net: Network | None, texts: list[str | None]) -> tuple[list[str], np.
 
 def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs; nothing but the text is read for a prediction."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = Shared(docs.sparkSession, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in chunks(batches):
@@ -173,7 +173,7 @@ def accepted(docs: DataFrame, net: Network | None, least: float = 0.5) -> DataFr
     """The rows of docs, as they are, whose language is told with a score of `least` or more; all rows if nothing was learned."""
     if net is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = Shared(docs.sparkSession, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in chunks(batches):
