@@ -137,7 +137,7 @@ def test_shared_passages(spark):
     rows[20], rows[21] = body(50) + passage[3] + body(20) + passage[3], passage[3]
     data = [(i, " ".join(w), "", "") for i, w in rows.items()] + [(50, None, "", ""), (51, "", "", ""), (None, " ".join(rows[0]), "", ""), (7, " ".join(rows[7]), "", "")]
     docs = spark.createDataFrame(data, DOCS).repartition(4)
-    out = passages.shared_passages(docs, window=6).collect()
+    out = passages.shared_passages(docs).collect()
     by = {}
     for r in out:
         by.setdefault(r.doc_id, []).append(r)
