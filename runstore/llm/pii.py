@@ -11,7 +11,8 @@ shapes with and without cues, and look-alikes such as part numbers, times and ve
 score at which 95 % of the sample's other half are right, and never below 0.5.
 
 Positions are code points, end exclusive. The patterns are written with possessive quantifiers: they match what the plain ones
-match, but a long run costs linear time and no stack. Nulls and edges: a null text is empty; documents without spans
+match, but a long run costs linear time and no stack; work on a text's spans is done in slices, so that texts with
+very many of them do not cost the square of their number. Nulls and edges: a null text is empty; documents without spans
 have the hash of the empty string and empty `spans`; repeated rows agree; other columns of the input stay untouched in
 `redacted`, and an empty table gives an empty result.
 """
@@ -19,6 +20,7 @@ have the hash of the empty string and empty `spans`; repeated rows agree; other
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,9 +86,33 @@ def needed(pattern: str, needs: str | None, regex: bool = False) -> Column:
     return F.lit(True) if needs is None else text.rlike(needs) if regex else F.contains(text, F.lit(needs))
 
 
-def found(name: str) -> Column:
-    """start, end, value of each match, in order, from the matches and the pieces between them."""
-    zipped = F.zip_with(F.col(f"m_{name}"), F.slice(f"g_{name}", 1, F.greatest(F.size(f"m_{name}"), F.lit(0))), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap")))
+def parts(name: str) -> Column:
+    """An array column in slices of about the square root of its size (an empty one is one slice).
+
+    Work on each slice and the whole array, and on each element and its slice, grows with n ** 1.5 and not with n ** 2.
+    """
+    n = F.size(name)
+    width = F.greatest(F.lit(64), F.ceil(F.sqrt(n)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / width).cast("int"))), lambda j: F.slice(name, j * width + 1, width))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each value, what merge has made of 0 and those before it."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, start, lambda a, v: F.struct(merge(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+
+def reach(spans_: Column) -> Column:
+    return F.array_max(F.transform(spans_, lambda s: s["end"]))
+
+
+def walked(name: str) -> Column:
+    """Per slice of the matches and the pieces before them: its length, and its spans counted from its begin."""
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def step(a: Column, x: Column) -> Column:
@@ -94,7 +120,14 @@ def found(name: str) -> Column:
         end = start + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(a["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("spans"))
 
-    return F.when(F.size(f"m_{name}") > 0, F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda a: a["spans"])).otherwise(empty)
+    return F.transform(parts(f"z_{name}"), lambda p: F.aggregate(p, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step))
+
+
+def found(name: str) -> Column:
+    """start, end, value of each match, in order."""
+    begins = running(F.transform(f"w_{name}", lambda p: p["at"]), lambda a, b: a + b)
+    moved = lambda p, by: F.transform(p["spans"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+    return F.flatten(F.zip_with(f"w_{name}", begins, moved))
 
 
 def matched(df: DataFrame, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
@@ -102,14 +135,18 @@ def matched(df: DataFrame, patterns: dict[str, tuple[str, Column]]) -> DataFrame
     none = F.array().cast("array<string>")
     df = df.withColumns({f"m_{n}": F.when(need, F.regexp_extract_all("text_", F.lit(p), F.lit(0))).otherwise(none) for n, (p, need) in patterns.items()})
     df = df.withColumns({f"g_{n}": F.when(F.size(f"m_{n}") > 0, F.split("text_", p, -1)).otherwise(none) for n, (p, _) in patterns.items()})
+    pair = lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"))
+    df = df.withColumns({f"z_{n}": F.zip_with(f"m_{n}", F.slice(f"g_{n}", 1, F.size(f"m_{n}")), pair) for n in patterns})
+    df = df.withColumns({f"w_{n}": walked(n) for n in patterns})
     df = df.withColumns({f"s_{n}": found(n) for n in patterns})
-    return df.drop(*[f"{x}_{n}" for n in patterns for x in "mg"])
+    return df.drop(*[f"{x}_{n}" for n in patterns for x in "mgzw"])
 
 
-def features(name: str, kind: str, span: Column) -> list[Column]:
-    text = F.col("text_")
-    before = F.substr(text, F.greatest(F.lit(1), span["start"] - 27), F.least(F.lit(28), span["start"]))
-    after = F.substr(text, span["end"] + 1, F.lit(1))
+def features(name: str, kind: str, span: Column, near: Column) -> list[Column]:
+    """near: a stretch of text around the span, and where it begins."""
+    at = span["start"] - near["origin"]
+    before = F.substr(near["text"], F.greatest(F.lit(1), at - 27), F.least(F.lit(28), at))
+    after = F.substr(near["text"], span["end"] - near["origin"] + 1, F.lit(1))
     d = digits(span["value"])
     columns = [
         F.lit(list(GENERATORS).index(name)), F.length(d), F.length(F.regexp_replace(span["value"], "[A-Za-z0-9]", "")), F.length(span["value"]),
@@ -121,8 +158,16 @@ def features(name: str, kind: str, span: Column) -> list[Column]:
 def candidates(df: DataFrame) -> DataFrame:
     """Add `candidates`: kind, start, end and the features of what the generators propose."""
     df = matched(df, {n: (p, needed(p, needs, True)) for n, (_, p, needs) in GENERATORS.items()})
-    parts = [F.transform(f"s_{n}", (lambda n, kind: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *features(n, kind, s)))(n, kind)) for n, (kind, _, _) in GENERATORS.items()]
-    return df.withColumn("candidates", F.concat(*parts)).drop(*[f"s_{n}" for n in GENERATORS])
+
+    def proposed(name: str, kind: str) -> Column:
+        def scored(p: Column) -> Column:
+            origin = F.greatest(F.lit(0), F.get(p, F.lit(0))["start"] - 28)
+            near = F.struct(origin.alias("origin"), F.substr(F.col("text_"), origin + 1, reach(p) + 1 - origin).alias("text"))
+            return let(near, lambda x: F.transform(p, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *features(name, kind, s, x))))
+
+        return F.flatten(F.transform(parts(f"s_{name}"), scored))
+
+    return df.withColumn("candidates", F.concat(*[proposed(n, kind) for n, (kind, _, _) in GENERATORS.items()])).drop(*[f"s_{n}" for n in GENERATORS])
 
 
 def training(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
@@ -212,9 +257,11 @@ _trained: list[tuple[Boosted, dict[int, float]]] = []
 def model(spark: SparkSession) -> tuple[Boosted, dict[int, float]]:
     """The trees, and the threshold of each generator; learned once in a driver."""
     if not _trained:
-        rows = candidates(training(spark)).select("id", "label", F.explode("candidates").alias("c")).select("id", "label", *[f"c.{f}" for f in FEATURES]).orderBy("id", *FEATURES).collect()
-        x, y = [[r[f] for f in FEATURES] for r in rows], [r.label for r in rows]
-        fit, rest = [i for i, r in enumerate(rows) if r.id // 4 % 2 == 0], [i for i, r in enumerate(rows) if r.id // 4 % 2]
+        # exploded here, as a filter on an exploded array would carry copies of its whole expression down the plan
+        some = candidates(training(spark)).select("id", "label", "candidates").collect()
+        rows = sorted((r.id, [c[f] for f in FEATURES], r.label) for r in some for c in r.candidates)
+        x, y = [r[1] for r in rows], [r[2] for r in rows]
+        fit, rest = [i for i, r in enumerate(rows) if r[0] // 4 % 2 == 0], [i for i, r in enumerate(rows) if r[0] // 4 % 2]
         trees = Boosted([x[i] for i in fit], [y[i] for i in fit])
         least = {}
         for j in range(len(GENERATORS)):
@@ -244,12 +291,25 @@ def spans(docs: DataFrame) -> DataFrame:
     def overlap(a: Column, b: Column) -> Column:
         return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
+    def kept(against: str, loses: Callable[[Column, Column], Column]) -> Column:
+        """Those of `scored` that lose to no overlapping span of `against`, which is narrowed to the stretch of each slice first."""
+
+        def of(p: Column) -> Column:
+            stretch = F.struct(F.get(p, F.lit(0))["start"].alias("start"), reach(p).alias("end"))
+            near = lambda r: F.filter(against, lambda b: overlap(b, r))
+            return let(stretch, lambda r: let(near(r), lambda bs: F.filter(p, lambda c: ~F.exists(bs, lambda b: overlap(b, c) & loses(c, b)))))
+
+        return F.when(F.size("scored") > 0, F.flatten(F.transform(parts("scored"), of)))
+
+    def worse(c: Column, a: Column) -> Column:
+        return (a["score"] > c["score"]) | ((a["score"] == c["score"]) & (F.struct(a["start"], a["k"], a["end"]) < F.struct(c["start"], c["k"], c["end"])))
+
     scored = F.transform("candidates", lambda c: F.struct(c["start"].alias("start"), F.coalesce(*[F.when(c["kind"] == k, F.lit(i)) for k, i in number.items()]).alias("k"), c["end"].alias("end"), c["kind"].alias("kind"), trees.column(c).alias("score"), cut(c).alias("cut")))
     df = df.withColumn("scored", F.when(F.size("candidates") > 0, scored)).drop("candidates")
-    df = df.withColumn("scored", F.filter("scored", lambda c: (c["score"] >= c["cut"]) & ~F.exists("base", lambda b: overlap(b, c))))
-    better = lambda a, c: (a["score"] > c["score"]) | ((a["score"] == c["score"]) & (F.struct(a["start"], a["k"], a["end"]) < F.struct(c["start"], c["k"], c["end"])))
-    added = F.filter("scored", lambda c: ~F.exists("scored", lambda a: overlap(a, c) & better(a, c)))
-    plain = F.transform(added, lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"), c["kind"].alias("kind")))
+    df = df.withColumn("scored", F.sort_array(F.filter("scored", lambda c: c["score"] >= c["cut"])))
+    df = df.withColumn("scored", kept("base", lambda c, b: F.lit(True)))
+    df = df.withColumn("scored", kept("scored", worse))
+    plain = F.transform("scored", lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"), c["kind"].alias("kind")))
     return df.withColumn("all_spans", F.when(F.size("scored") > 0, F.array_sort(F.concat("base", plain))).otherwise(F.col("base"))).drop("scored")
 
 
@@ -268,11 +328,22 @@ def redacted(docs: DataFrame) -> DataFrame:
     """docs with each span, or run of overlapping spans, replaced by the first one's kind in square brackets; other columns as they are."""
     df = spans(docs.select(F.struct(*docs.columns).alias("row"), "text"))  # no column of docs can clash with ours
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substr(F.col("text_"), a["at"] + 1, s["start"] - a["at"])
-        more = F.concat(a["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], more).otherwise(a["out"]).alias("out"))
+    def rewritten(p: Column, at: Column) -> Column:
+        """The text from where the spans before the slice end to where its own do."""
+
+        def step(x: Column) -> Callable[[Column, Column], Column]:
+            def of(a: Column, s: Column) -> Column:
+                gap = F.substr(x["text"], a["at"] - x["origin"] + 1, s["start"] - a["at"])
+                more = F.concat(a["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))
+                return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], more).otherwise(a["out"]).alias("out"))
+
+            return of
+
+        near = F.struct(at.alias("origin"), F.substr(F.col("text_"), at + 1, reach(p) - at).alias("text"))
+        return let(near, lambda x: F.aggregate(p, F.struct(x["origin"].alias("at"), F.lit("").alias("out")), step(x), lambda a: a["out"]))
 
-    ended = F.aggregate("all_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(F.col("text_"), a["at"] + 1, F.length("text_"))))
+    df = df.withColumn("slices", parts("all_spans"))
+    written_ = F.array_join(F.zip_with("slices", running(F.transform("slices", reach), F.greatest), rewritten), "")
+    ended = F.concat(written_, F.substr(F.col("text_"), reach(F.col("all_spans")) + 1, F.length("text_")))
     text = F.when(F.size("all_spans") > 0, ended).otherwise(F.col("text"))
     return df.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -44,6 +44,22 @@ def test_base_spans_match_the_plain_patterns(spark):
     assert pii.personal_data(docs.limit(0)).count() == 0
 
 
+def test_texts_with_very_many_spans(spark):
+    """Slices, and whatever is carried from one to the next, change nothing; the time does not grow with the square of the spans."""
+    one = "mail a{0}@b{0}.com, +1 (555) 010-{0:04d}, 10.0.7.{1}, call (0{2}) 555-{0:04d} é;"
+    texts = ["".join(one.format(i, i % 256, 100 + i % 900) for i in range(n)) for n in (16, 64, 65, 4100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.personal_data(docs).collect():
+        want, spans = base(texts[r.doc_id]), r.spans.split(",")
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        added = [x.split(":") for x in sorted(set(spans) - set(want), key=spans.index)]
+        assert len(spans) == len(want) + r.n_added and r.n_added == texts[r.doc_id].count("call")
+        assert [texts[r.doc_id][int(s) : int(e)] for _, s, e in added] == re.findall(r"\(0[0-9]+\) 555-[0-9]+", texts[r.doc_id])
+    for r in pii.redacted(docs).collect():
+        n = texts[r.doc_id].count(";")
+        assert r.text == "mail [EMAIL], [PHONE], [IP], call [PHONE] é;" * n
+
+
 def test_documents_match_the_plain_patterns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
