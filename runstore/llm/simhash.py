@@ -136,6 +136,7 @@ def near_edges(nodes: DataFrame, distance: int = 4, tile: int = 4096) -> DataFra
     masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(distance, whole)]
     keyed = nodes.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("j", "v"))
     large = keyed.groupBy("j", "v").agg(F.count("*").alias("n")).filter(F.col("n") > tile).withColumn("parts", F.ceil(F.col("n") / tile).cast("int")).drop("n")
+    large = stored(large)  # a plain table: a hot bucket can then be split in the join
     keyed = keyed.join(large, ["j", "v"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -178,10 +179,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))  # a plain table: the join can split a hub's edges
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = stored(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
