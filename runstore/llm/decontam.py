@@ -11,7 +11,8 @@ the item scores against itself. Documents with a score of `threshold` or more ar
 
 Nulls and edges: null texts and texts without words match nothing, nor do items without words or with a null id; items of
 fewer than n words are matched as a whole, by an n-gram of their length; ties report the first place; repeated rows are
-reported each, repeated items with one id once; an empty table on either side gives an empty result.
+reported each, repeated items once; of several texts with one id the one that scores best is reported; an empty table on
+either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,18 +54,23 @@ class Block:
 
     def __init__(self, items: list[tuple[int, str]], n: int) -> None:
         self.n = n
-        self.items: dict[int, np.ndarray] = {}
+        self.ids: list[int] = []
+        self.items: list[np.ndarray] = []
         self.where: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.short: set[int] = set()
+        seen: set[tuple[int, bytes]] = set()
         for item_id, text in items:
             w, owner = words([text])
-            if not len(w) or item_id in self.items:
+            if not len(w) or (item_id, w.tobytes()) in seen:
                 continue
-            self.items[item_id] = w
+            seen.add((item_id, w.tobytes()))
+            item = len(self.items)
+            self.ids.append(item_id)
+            self.items.append(w)
             m = min(n, len(w))
             self.short |= {m} - {n}
             for k, g in enumerate(grams(w, owner, m)[: len(w) - m + 1].tolist()):
-                self.where[g].append((item_id, k))
+                self.where[g].append((item, k))
         self.index()
 
     def index(self) -> None:
@@ -76,8 +82,8 @@ class Block:
         """Leave the rarer half of each item's n-grams, and the rarest of any `window` neighbours."""
         by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for g, places in self.where.items():
-            for item_id, k in places:
-                by_item[item_id].append((k, count.get(g, 0), g))
+            for item, k in places:
+                by_item[item].append((k, count.get(g, 0), g))
         keep: set[int] = set()
         for g3 in by_item.values():
             g3.sort()
@@ -134,11 +140,11 @@ def found_in(b: Block, texts: list[str], threshold: float) -> dict[tuple[int, in
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
     shifts: dict[tuple[int, int], list[int]] = defaultdict(list)
     for p, g in zip(at.tolist(), of.tolist(), strict=True):
-        for item_id, k in b.where[g]:
-            shifts[item_id, int(owner[p])].append(p - k)
+        for i, k in b.where[g]:
+            shifts[i, int(owner[p])].append(p - k)
     work: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for (item_id, d), places in shifts.items():
-        m = len(b.items[item_id])
+    for (which, d), places in shifts.items():
+        m = len(b.items[which])
         places.sort()
         slack = 4 + m // 4
         group = [places[0], places[0]]
@@ -146,11 +152,11 @@ def found_in(b: Block, texts: list[str], threshold: float) -> dict[tuple[int, in
             if x is not None and x - group[1] <= slack and x - group[0] <= 2 * m:
                 group[1] = x
                 continue
-            work[item_id].append((d, max(int(first[d]), group[0] - slack), min(int(first[d + 1]), group[1] + m + slack)))
+            work[which].append((d, max(int(first[d]), group[0] - slack), min(int(first[d + 1]), group[1] + m + slack)))
             group = [x, x]
     found: dict[tuple[int, int], tuple] = {}
-    for item_id, parts in work.items():
-        item = b.items[item_id]
+    for which, parts in work.items():
+        item, item_id = b.items[which], b.ids[which]
         parts.sort(key=lambda x: x[2] - x[1])
         for i in range(0, len(parts), 256):
             some = parts[i : i + 256]
@@ -159,12 +165,12 @@ def found_in(b: Block, texts: list[str], threshold: float) -> dict[tuple[int, in
             for r, (_, lo, hi) in enumerate(some):
                 grid[r, : hi - lo] = word[lo:hi]
             score, end = align(item, grid)
-            for (d, lo, _), s, e in zip(some, score.tolist(), end.tolist(), strict=True):
+            for r, ((d, lo, _), s, e) in enumerate(zip(some, score.tolist(), end.tolist(), strict=True)):
                 share = s / (2 * len(item))
                 if share >= threshold and (share, -lo) > found.get((d, item_id), (0.0,))[:2]:
-                    last = lo + e - 1
-                    matched = int(np.isin(item, word[max(lo, last - 2 * len(item)) : last + 1]).sum())
-                    found[d, item_id] = (share, -lo, matched, lo - int(first[d]), last - int(first[d]))
+                    begin = lo + e - int(align(item[::-1], grid[r : r + 1, :e][:, ::-1])[1][0])  # backwards, the alignment ends where it begins
+                    matched = int(np.isin(item, word[begin : lo + e]).sum())
+                    found[d, item_id] = (share, -lo, matched, begin - int(first[d]), lo + e - 1 - int(first[d]))
     return found
 
 

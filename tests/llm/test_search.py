@@ -63,6 +63,9 @@ def test_leaks(spark):
     assert decontam.leaks(df, bench.limit(0)).count() == 0
     assert decontam.leaks(df.limit(0), bench).count() == 0
     assert [tuple(r)[:3] for r in decontam.leaks(spark.createDataFrame([(1, "say: Hello, world!", "")], DOCS), spark.createDataFrame([(9, "hello world")], "item_id long, text string")).collect()] == [(1, 9, 1.0)]
+    twice = spark.createDataFrame([(9, "one two three four"), (9, "five six seven eight"), (9, "five six seven eight")], "item_id long, text string")
+    got = decontam.leaks(spark.createDataFrame([(1, "one two three four", ""), (2, "so five six seven eight one two three", "")], DOCS), twice).collect()
+    assert sorted((r.doc_id, r.item_id, r.score, r.first_word) for r in got) == [(1, 9, 1.0, 0), (2, 9, 1.0, 1)]
 
 
 def test_top_k_against_brute_force(spark):
