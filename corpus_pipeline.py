@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runstore.llm import decontam, langid, mixing, pii, simhash
+from runstore.llm import decontam, langid, mixing, pii, similar
 from runstore.llm._common import stored, table
 
 #: Just above what four languages score by chance: very short texts stay.
@@ -24,8 +24,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, on shingles of five words."""
-    return simhash.one_of_each(docs, shingle=5)
+    """One document of each group of near-duplicates: sets of five-word shingles with a Jaccard similarity of 0.8 or more, linked exactly."""
+    return similar.one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language ID", identify),
-    ("SimHash near-dedup", deduplicate),
+    ("near-dedup", deduplicate),
     ("benchmark decontamination", decontaminate),
     ("PII", redact),
     ("mixing sources", mix),

@@ -26,17 +26,24 @@ from pyspark.sql import functions as F
 from ._common import stored
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hash of each shingle of the text, repeated ones too; a shorter text is one shingle."""
     word = (text or "").encode(errors="replace").lower().split()  # bytes: only A-Z change, and only ASCII white space parts
     if not word:
-        return 0
+        return np.empty(0, np.uint64)
     parts = [b" ".join(word)]
     if len(word) > shingle:
         joined = parts[0]
         end = np.cumsum([len(w) + 1 for w in word])
         parts = [joined[a : b - 1] for a, b in zip([0, *end[:-shingle].tolist()], end[shingle - 1 :].tolist(), strict=True)]
     digest = xxhash.xxh64_digest
-    h = np.frombuffer(b"".join([digest(p, 42) for p in parts]), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(p, 42) for p in parts]), ">u8").astype(np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    h = shingle_hashes(text, shingle).astype(">u8").view(np.uint8).reshape(-1, 8)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 65536):
         ones += np.unpackbits(h[i : i + 65536], axis=1).sum(axis=0, dtype=np.int64)
@@ -205,11 +212,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, distance: int = 4, til
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group of near-duplicates, that with the least doc_id; rows with a null id stay, and of rows that share an id one stays."""
-    named = stored(near_duplicates(docs, **options))
+def representatives(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """docs with one row of each group of `named` (doc_id, component_id), that with the least doc_id; rows with a null id stay, and of rows that share an id one stays."""
     kept = named.filter("doc_id = component_id").select("doc_id").distinct()
     out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
     if not named.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.filter("doc_id is null"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that with the least doc_id; rows with a null id stay, and of rows that share an id one stays."""
+    return representatives(docs, stored(near_duplicates(docs, **options)))
