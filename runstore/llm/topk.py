@@ -83,6 +83,9 @@ class Tree:
             score = self.rows[part] @ q
             low = max(floor, best[0][0]) if len(best) >= k else floor
             some = np.flatnonzero(score >= low)
+            if len(some) > k:  # an id's best row stands for all of them
+                some = some[np.lexsort((-score[some], self.ids[part[some]]))]
+                some = some[np.diff(self.ids[part[some]], prepend=self.ids[part[some[0]]] - 1) != 0]
             if len(some) > k:  # those below the kth best of the leaf can't count, but for the query's own row
                 some = some[score[some] >= np.partition(score[some], -k - 1)[-k - 1]]
             for i in some.tolist():
