@@ -6,6 +6,7 @@ delete, and eight runs by age (7 is the newest).
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import codec
+from ..operators import bloom as bl
 from ..operators import files as fl
 from ..operators import merge as mg
 from ..operators.bounds import Bound, in_range
@@ -277,45 +279,79 @@ def simple_ratio_trigger(spark, sf_dir):
     return n.join(below, "level").select("level", F.col("n_files").alias("here"), "below", (F.col("below") / F.col("n_files") < 2.0).alias("fires"))
 
 
-_LEVELS = [(1, 300), (2, 2_000), (3, 45_000), (4, 900_000)]
+#: Levels of three runs each, the newest on top; targets by the rule, with a base of 1000 bytes and a factor of 2.
+_LEVELED = """lv AS (SELECT 3 - id // 3 AS level, id, bytes FROM files),
+ r AS (SELECT level, CAST(sum(bytes) AS BIGINT) AS real FROM lv GROUP BY level),
+ t3 AS (SELECT greatest(real, 1000) AS t FROM r WHERE level = 3), t2 AS (SELECT CASE WHEN t > 1000 THEN t // 2 ELSE 0 END AS t FROM t3), t1 AS (SELECT CASE WHEN t > 1000 THEN t // 2 ELSE 0 END AS t FROM t2),
+ targets AS (SELECT level, real, CAST(CASE level WHEN 3 THEN (SELECT t FROM t3) WHEN 2 THEN (SELECT t FROM t2) ELSE (SELECT t FROM t1) END AS BIGINT) AS target FROM r)"""
 
 
-@query("SELECT level, real, target FROM (VALUES (1, 300, 900), (2, 2000, 9000), (3, 45000, 90000), (4, 900000, 900000)) t(level, real, target)", with_="")
-def leveled_targets(spark, sf_dir):
+def _leveled(spark: SparkSession, sf_dir: str):
+    """A leveled policy, and a state of the catalogue's files."""
     from .policies import File, Leveled, State
 
-    state = State((), tuple((n, (n,)) for n, _ in _LEVELS), {n: File(n, size) for n, size in _LEVELS})
-    targets, _ = Leveled(multiplier=10, max_levels=4, base_bytes=5_000).targets(state)
-    return spark.createDataFrame([(n, size, t) for (n, size), t in zip(_LEVELS, targets, strict=True)], "level int, real int, target int")
+    rows = catalogue(spark, sf_dir).select("id", "bytes", "first_key", "last_key").collect()  # one row a run
+    levels = tuple((n, tuple(sorted(r.id for r in rows if 3 - r.id // 3 == n))) for n in (1, 2, 3))
+    return Leveled(multiplier=2, trigger=1, max_levels=3, base_bytes=1_000), State((), levels, {r.id: File(r.id, r.bytes, r.first_key, r.last_key) for r in rows})
 
 
-@query("SELECT level, bytes FROM (SELECT level, CAST(sum(bytes) AS BIGINT) AS bytes FROM files GROUP BY level) ORDER BY bytes DESC, level LIMIT 1", with_=f"{KV}, {FILES}")
-def leveled_priority_top1(spark, sf_dir):
-    return fl.level_counts(catalogue(spark, sf_dir)).select("level", "bytes").orderBy(F.desc("bytes"), "level").limit(1)
+@query("SELECT level, real, target FROM targets", with_=f"{KV}, {FILES}, {_LEVELED}")
+def leveled_targets(spark, sf_dir):
+    policy, state = _leveled(spark, sf_dir)
+    real = [sum(state.files[i].bytes for i in ids) for _, ids in state.levels]
+    return spark.createDataFrame([(n, r, t) for (n, _), r, t in zip(state.levels, real, policy.targets(state)[0], strict=True)], "level long, real long, target long")
 
 
-_LOG = "log AS (SELECT event_id AS pos, user_id AS file, event_type AS kind FROM events)"
+@query("SELECT level, (SELECT min(id) FROM lv WHERE lv.level = x.level) AS file FROM (SELECT level, real / target AS ratio FROM targets WHERE target > 0 AND real > target ORDER BY ratio DESC, level LIMIT 1) x", with_=f"{KV}, {FILES}, {_LEVELED}")
+def leveled_priority_top1(spark, sf_dir):
+    """The level that is fullest for its target, and its oldest file: what the policy compacts next."""
+    policy, state = _leveled(spark, sf_dir)
+    task = policy.task(state)
+    return spark.createDataFrame([(task.upper_level, i) for i in task.upper] if task else [], "level long, file long")
 
 
-@query("SELECT DISTINCT key AS file FROM kv WHERE run = 7 EXCEPT SELECT key FROM kv WHERE run = 6")
+@query("SELECT printf('%02d', n_nationkey) AS key, n_name AS value FROM nation WHERE n_regionkey >= 2", with_="")
 def pending_memtables(spark, sf_dir):
-    """Created and not yet flushed."""
-    versions = kv(spark, sf_dir).select(F.col("key").alias("file"), "run")
-    return versions.filter("run = 7").select("file").distinct().join(versions.filter("run = 6").select("file"), "file", "left_anti")
-
-
-@query("SELECT file FROM (SELECT file, kind, row_number() OVER (PARTITION BY file ORDER BY pos DESC) AS rn FROM log) WHERE rn = 1 AND kind <> 'logout'", with_=_LOG)
+    """Buffers that were closed and not yet written are recovered from the log: one for each region, the two oldest are written."""
+    from ..sources.store import Options, Store
+
+    options = Options(wal=True)
+    store = Store(spark, _folder(spark), options)
+    rows = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name").orderBy("n_regionkey").collect()  # the whole table: 25 rows
+    for region in sorted({r.n_regionkey for r in rows}):
+        store.put_batch((f"{r.n_nationkey:02d}", r.n_name) for r in rows if r.n_regionkey == region)
+        store.freeze()
+    store.flush_oldest(), store.flush_oldest()
+    store.sync()
+    again = Store(spark, store.path, options)
+    return spark.createDataFrame([(k, v) for b in again.buffers for k, (_, v) in b.items()], "key string, value string")
+
+
+@query("SELECT CAST(a.run AS INTEGER) AS version, CAST(count(*) AS INTEGER) AS runs, CAST(sum(b.n) AS BIGINT) AS rows FROM (SELECT DISTINCT run FROM kv) a JOIN (SELECT run, count(DISTINCT key) AS n FROM kv GROUP BY run) b ON b.run <= a.run GROUP BY a.run")
 def replay_live_files(spark, sf_dir):
-    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("kind"), F.col("event_id").alias("pos"))
-    return log.groupBy("file").agg(F.max_by("kind", "pos").alias("kind")).filter("kind <> 'logout'").select("file")
+    """The live files after each version of the commit log, read back from the log alone."""
+    from ..sources.store import Options, Store
+
+    store = Store(spark, _store(spark, sf_dir, Options()).path)
+    states = [(v, store.at(v).state) for v in store.catalog.versions()]
+    return spark.createDataFrame([(v, s.runs(), sum(f.rows for f in s.files.values())) for v, s in states], "version int, runs int, rows long")
 
 
-@query("SELECT file, pos FROM (SELECT user_id AS file, event_id AS pos, min(CASE WHEN event_id % 97 = 0 THEN event_id END) OVER (PARTITION BY user_id) AS bad FROM events) WHERE bad IS NULL OR pos < bad", with_="")
+@query("SELECT file, pos, key, value FROM (SELECT CAST(user_id % 16 AS VARCHAR) AS file, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) - 1 AS pos, CAST(event_id AS VARCHAR) AS key, props AS value, min(CASE WHEN event_id % 97 = 0 THEN event_id END) OVER (PARTITION BY user_id % 16) AS bad, event_id FROM events) WHERE bad IS NULL OR event_id < bad", with_="")
 def wal_valid_prefix(spark, sf_dir):
-    from ..sources.wal import valid_prefix
+    """Sixteen log files of real frames, some of them damaged; each is decoded up to its first damaged frame."""
+    import pandas as pd
+
+    from ..sources.wal import decoded
 
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("pos"), (F.col("event_id") % 97 != 0).alias("ok"))
-    return valid_prefix(rows).select("file", "pos")
+    def written(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("event_id")
+        parts = [codec.frame(str(i), p) for i, p in zip(pdf.event_id, pdf.props, strict=True)]
+        data = b"".join(x[:-1] + bytes([x[-1] ^ 1]) if i % 97 == 0 else x for i, x in zip(pdf.event_id, parts, strict=True))
+        return pd.DataFrame({"path": [str(pdf.file.iloc[0])], "content": [data]})
+
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 16).cast("string").alias("file"), "event_id", "props")
+    return decoded(rows.groupBy("file").applyInPandas(written, "path string, content binary")).select(F.col("path").alias("file"), "pos", "key", "value")
 
 
 @query("SELECT key, value FROM (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM kv WHERE run = 7) WHERE rn = 1")
@@ -338,11 +374,18 @@ def latency_nearest_rank(spark, sf_dir):
     return upto.groupBy("event_type").agg(*pick)
 
 
-@query("SELECT CAST(sum(octet_length(encode(key)) + octet_length(encode(value))) AS BIGINT) AS user_bytes, (SELECT CAST(sum(octet_length(encode(key)) + octet_length(encode(value))) AS BIGINT) FROM live) AS live_bytes FROM kv")
+@query("SELECT CAST(n AS BIGINT) AS user_rows, CAST(f + l AS BIGINT) AS written_rows, CAST(f + l AS DOUBLE) / n AS amplification FROM (SELECT (SELECT count(*) FROM kv) AS n, (SELECT sum(c) FROM (SELECT count(DISTINCT key) AS c FROM kv GROUP BY run)) AS f, (SELECT count(*) FROM live) AS l)")
 def write_amp(spark, sf_dir):
-    size = F.octet_length("key") + F.octet_length("value")
-    versions = kv(spark, sf_dir)
-    return versions.agg(F.sum(size).cast("long").alias("user_bytes")).join(mg.live(versions).agg(F.sum(size).cast("long").alias("live_bytes")))
+    """Rows that the table wrote, by its own log, for the rows it was given: eight runs, and one compaction of all."""
+    from ..sources.store import Options
+
+    store = _store(spark, sf_dir, Options())
+    store.force_full_compaction()
+    written, known = 0, set()
+    for v in store.catalog.versions():
+        new = {i: f.rows for i, f in store.at(v).state.files.items() if i not in known}
+        written, known = written + sum(new.values()), known | set(new)
+    return kv(spark, sf_dir).agg(F.count("*").alias("user_rows")).select("user_rows", F.lit(written).cast("long").alias("written_rows"), (F.lit(float(written)) / F.col("user_rows")).alias("amplification"))
 
 
 @query("SELECT p_partkey, lpad(hex(p_partkey), 16, '0') AS be64, lpad(hex(p_size), 4, '0') AS be16, p_partkey AS back FROM part", with_="")
@@ -380,9 +423,19 @@ def generated_rows(spark, sf_dir):
 
 @query("SELECT DISTINCT key, true AS may_contain FROM kv WHERE run = 3")
 def bloom_no_false_negatives(spark, sf_dir):
-    """The keys of a run through the run's own filter, which a scan would ask: runtime joins on a Bloom filter of the same kind."""
+    """The keys of a run, asked of a Bloom filter of these keys."""
     run = kv(spark, sf_dir).filter("run = 3").select("key").distinct()
-    return run.join(run.withColumn("may_contain", F.lit(True)), "key").select("key", "may_contain")
+    bits, probes = bl.shape(run.count(), 0.01)
+    return bl.asked(run, bl.built(run, bits, probes), bits, probes)
+
+
+@query("SELECT count(DISTINCT key) AS asked, true AS rate_below_two_percent FROM kv")
+def bloom_false_positives(spark, sf_dir):
+    """Keys that no run holds, asked of a Bloom filter of all keys."""
+    keys = kv(spark, sf_dir).select("key").distinct()
+    bits, probes = bl.shape(keys.count(), 0.01)
+    out = bl.asked(keys.select(F.concat("key", F.lit("~")).alias("key")), bl.built(keys, bits, probes), bits, probes)
+    return out.agg(F.count("*").alias("asked"), (F.avg(F.col("may_contain").cast("int")) < 0.02).alias("rate_below_two_percent"))
 
 
 @query()
@@ -434,18 +487,38 @@ _typed("kv_from_part", "", "part", lambda: F.concat_ws("|", "p_brand", F.format_
 # The table itself, end to end
 
 
-def _store(spark: SparkSession, sf_dir: str, options):
-    """kv ingested run by run into a table in the shared folder."""
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder for a table, where all executors see it; it is deleted when the driver ends."""
     import tempfile
     import uuid
 
-    from ..sources.store import Store
-
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or (tempfile.gettempdir() if sc.master.startswith("local") and "cluster" not in sc.master else None)
     if root is None:
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    store = Store(spark, f"{root}/table-{uuid.uuid4().hex}", options)
+    _made.append((spark, f"{root}/table-{uuid.uuid4().hex}"))
+    return _made[-1][1]
+
+
+@atexit.register
+def _clean() -> None:
+    from ..sources.files import Files
+
+    for spark, path in _made:
+        try:
+            Files(spark, path).delete("")
+        except Exception:  # noqa: BLE001  the JVM has gone
+            return
+
+
+def _store(spark: SparkSession, sf_dir: str, options):
+    """kv ingested run by run into a table in the shared folder."""
+    from ..sources.store import Store
+
+    store = Store(spark, _folder(spark), options)
     versions = kv(spark, sf_dir)
     for r in range(8):
         store.ingest(versions.filter(F.col("run") == r).select("key", "value", "seq"))

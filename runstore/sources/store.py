@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codec import frame, frames, valid_bytes
+from ..functions.codec import frame, frames
 from ..model import DELETE, PUT, VERSION, check_key, check_value, op_of, valid_versions
 from ..operators.bounds import Bound, in_range, may_hold
+from ..operators.files import key_to_files
 from ..operators.merge import compacted, drop_tombstones, live, multi_get, newest_per_key
 from ..plans.policies import File, Leveled, NoCompaction, Simple, StaleTask, State, Task, Tiered, full_applied, full_task
 from .catalog import Catalog, Conflict, Snapshot
 from .files import Files
 
+#: Catalogues of more files are narrowed by the hull of the keys only.
+MOST_RANGES = 100_000
+
 
 @dataclass(frozen=True)
 class Options:
@@ -42,7 +47,11 @@ class Options:
 
 
 class Store:
-    """One writer at a time; any number of readers, each over the snapshot it started from."""
+    """Any number of readers, each over the snapshot it started from. Writers may commit at the same time: the later commit is newer.
+
+    Recency is the commit, then the order inside a batch. Rows keep the seq they were written with; where another writer committed
+    first, the file carries how far its rows move up. One writer at a time may use the log (`wal`).
+    """
 
     def __init__(self, spark: SparkSession, path: str, options: Options = Options()) -> None:
         self.spark, self.path, self.options = spark, path.rstrip("/"), options
@@ -53,7 +62,7 @@ class Store:
         self.sizes = [0]
         self.seq = self.snapshot.next_seq
         self.closed = False
-        self._log = None
+        self._log, self._segments = None, 0
         if options.wal:
             self._recover()
 
@@ -92,7 +101,7 @@ class Store:
         if len(self.buffers) < 2:
             return False
         rows = [(k, s, DELETE if v == "" else PUT, v) for k, (s, v) in self.buffers[-1].items()]
-        self._commit_run(self.spark.createDataFrame(rows, VERSION), {"kind": "flush"}, self.seq)
+        self._commit_run(self.spark.createDataFrame(rows, VERSION), {"kind": "flush"})
         self.buffers.pop(), self.sizes.pop()
         if self.options.wal:
             self._rewrite_log()
@@ -104,15 +113,10 @@ class Store:
         while self.flush_oldest():
             pass
 
-    def sync(self) -> None:
-        if self._log:
-            self._log.flush()
-            os.fsync(self._log.fileno())
-
     def close(self) -> None:
         if not self.closed:
             self.flush()
-            if self._log:
+            if self._log is not None:
                 self._log.close()
             self.closed = True
 
@@ -123,59 +127,62 @@ class Store:
         one seq, as each key is left once. Nothing is sorted as a whole.
         """
         self.flush()
-        done = (self.snapshot.batches or {}).get(source)
-        if batch_id is not None and done is not None and int(batch_id) <= done:
+        if self._done(batch_id, source):
             return False
-        base = self.seq
         order = F.col("seq") if "seq" in df.columns else F.monotonically_increasing_id()
-        rows = valid_versions(df.select("key", "value", (order + F.lit(base)).cast("long").alias("seq")))
-        rows = rows.select("key", "seq", op_of(F.col("value")).alias("op"), "value")
-        batches = dict(self.snapshot.batches or {})
-        if batch_id is not None:
-            batches[source] = int(batch_id)
-        rows = newest_per_key(rows)
-        rows = rows if "seq" in df.columns else rows.withColumn("seq", F.lit(base).cast("long"))
-        self._commit_run(rows, {"kind": "ingest", "batch": batch_id}, None, batches)
-        return True
+        rows = valid_versions(df.select("key", "value", order.cast("long").alias("seq")))
+        rows = newest_per_key(rows.select("key", "seq", op_of(F.col("value")).alias("op"), "value"))
+        rows = rows.withColumn("seq", F.lit(self.seq).cast("long"))  # a key is left once, so its place among other batches is all that counts
+        return self._commit_run(rows, {"kind": "ingest", "batch": batch_id}, batch_id, source)
 
-    def _commit_run(self, rows: DataFrame, action: dict, next_seq: int | None, batches: dict[str, int] | None = None) -> None:
-        first_id = self.snapshot.next_id
-        files = self._write(rows, first_id)
+    def _done(self, batch_id: int | str | None, source: str) -> bool:
+        done = (self.snapshot.batches or {}).get(source)
+        return batch_id is not None and done is not None and int(batch_id) <= done
+
+    def _commit_run(self, rows: DataFrame, action: dict, batch_id: int | str | None = None, source: str = "") -> bool:
+        """Write rows as a run and commit it on top of whatever others have committed; False if they committed this batch."""
+        written = self._write(rows, self.snapshot.next_id)
         for _ in range(20):
             snap = self.snapshot
+            if self._done(batch_id, source):
+                for f in written:
+                    self.files.delete(f.path)
+                return False
+            up = max(0, snap.next_seq - min((f.min_seq for f in written), default=snap.next_seq))
+            files = [replace(f, id=snap.next_id + i, run=snap.next_id, shift=up, min_seq=f.min_seq + up, max_seq=f.max_seq + up) for i, f in enumerate(written)]
             ids = tuple(f.id for f in files)
             if isinstance(self.options.policy, Tiered):
                 levels = (((ids[0], ids),) if ids else ()) + snap.state.levels
                 state = replace(snap.state, levels=levels, files={**snap.state.files, **{f.id: f for f in files}})
             else:
                 state = replace(snap.state, l0=ids + snap.state.l0, files={**snap.state.files, **{f.id: f for f in files}})
-            seq = next_seq if next_seq is not None else max([f.max_seq + 1 for f in files], default=self.seq)
-            new = replace(snap, state=state, next_id=max([snap.next_id, *[i + 1 for i in ids]]), next_seq=max(seq, snap.next_seq), batches=snap.batches if batches is None else batches, gone=())
+            batches = dict(snap.batches or {}) | ({source: int(batch_id)} if batch_id is not None else {})
+            new = replace(snap, state=state, next_id=snap.next_id + len(ids), next_seq=max([snap.next_seq, *[f.max_seq + 1 for f in files]]), batches=batches, gone=())
             try:
-                self.snapshot = self.catalog.commit(new, action | {"added": ids})
+                self.snapshot = self.catalog.commit(new, action | {"added": ids}, snap)
                 self.seq = max(self.seq, self.snapshot.next_seq)
-                return
+                return True
             except Conflict:
                 self.refresh()
-                if set(ids) & set(self.snapshot.state.files):
-                    files = [replace(f, id=self.snapshot.next_id + i) for i, f in enumerate(files)]
         raise Conflict("too many other writers")
 
     def _write(self, rows: DataFrame, first_id: int, parts: int | None = None) -> list[File]:
-        """Write rows, sorted by key, as files of about target_bytes; returns them in key order."""
+        """Write rows, sorted by key, as files of about target_bytes; returns them in key order.
+
+        Without a number of parts, Spark joins small parts of the shuffle up to target_bytes.
+        """
         folder = f"{self.path}/runs/run={first_id:05d}-{self.files.jvm.java.util.UUID.randomUUID().toString()[:8]}"
         rows = rows.select("key", "seq", "op", "value")
-        out = (rows if parts is None else rows.repartitionByRange(parts, "key")).sortWithinPartitions("key")
-        if parts is None:
-            out = rows.repartitionByRange("key").sortWithinPartitions("key")
+        out = (rows.repartitionByRange("key") if parts is None else rows.repartitionByRange(parts, "key")).sortWithinPartitions("key")
         writer = out.write.option("compression", self.options.compression)
         if self.options.bloom:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")  # else a megabyte for any file
-        writer.parquet(folder)
+        with settings(self.spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(self.options.target_bytes), "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(min(1 << 20, self.options.target_bytes)), "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}):
+            writer.parquet(folder)
         stats = self.spark.read.schema(VERSION).parquet(folder).groupBy(F.col("_metadata.file_path").alias("path")).agg(
-            F.max("_metadata.file_size").alias("bytes"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("rows"), F.max("seq").alias("max_seq"))
+            F.max("_metadata.file_size").alias("bytes"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("rows"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
         found = sorted(stats.collect(), key=lambda r: r.first_key.encode())  # one row for each file written
-        return [File(first_id + i, r.bytes, r.first_key, r.last_key, r.rows, r.max_seq, r.path) for i, r in enumerate(found)]
+        return [File(first_id + i, r.bytes, r.first_key, r.last_key, r.rows, r.max_seq, r.path, first_id, r.min_seq) for i, r in enumerate(found)]
 
     # Reading
 
@@ -194,20 +201,32 @@ class Store:
     def versions(self, snapshot: Snapshot | None = None, lower: Bound = Bound(), upper: Bound = Bound()) -> DataFrame:
         """All versions of a range; files outside it are not opened."""
         snap = snapshot or self.snapshot
-        paths = [f.path for f in snap.state.files.values() if may_hold(lower, upper, f.first_key, f.last_key)]
-        parts = [self.spark.read.schema(VERSION).parquet(*paths)] if paths else []
+        parts = self._opened([f for f in snap.state.files.values() if may_hold(lower, upper, f.first_key, f.last_key)])
         rows = [] if snapshot else [(k, s, DELETE if v == "" else PUT, v) for b in self.buffers for k, (s, v) in b.items()]
         if rows or not parts:
-            parts.append(self.spark.createDataFrame(rows, VERSION))
+            up = max(0, snap.next_seq - min((r[1] for r in rows), default=snap.next_seq))  # what is not committed yet is newest
+            parts.append(self.spark.createDataFrame([(k, s + up, op, v) for k, s, op, v in rows], VERSION))
         return reduce(DataFrame.unionByName, parts).filter(in_range(lower, upper))
 
+    def _opened(self, files: list[File]) -> list[DataFrame]:
+        """The rows of the files, one scan for each shift (as a rule all have none)."""
+        by_shift: dict[int, list[str]] = {}
+        for f in files:
+            by_shift.setdefault(f.shift, []).append(f.path)
+        scans = {up: self.spark.read.schema(VERSION).parquet(*paths) for up, paths in sorted(by_shift.items())}
+        return [x.withColumn("seq", F.col("seq") + up) if up else x for up, x in scans.items()]
+
     def live(self, snapshot: Snapshot | None = None, lower: Bound = Bound(), upper: Bound = Bound()) -> DataFrame:
         snap = snapshot or self.snapshot
         unique = self._unique(snap.state) and (snapshot is not None or not any(self.buffers))
         return live(self.versions(snapshot, lower, upper), unique=unique).select("key", "value")
 
     def scan(self, lower: Bound = Bound(), upper: Bound = Bound(), snapshot: Snapshot | None = None) -> DataFrame:
-        return self.live(snapshot, lower, upper).orderBy("key")
+        """Live rows in key order, by one shuffle: parts of the key space are merged and sorted by themselves."""
+        snap = snapshot or self.snapshot
+        unique = self._unique(snap.state) and (snapshot is not None or not any(self.buffers))
+        rows = self.versions(snapshot, lower, upper)
+        return live(rows if unique else rows.repartitionByRange("key"), unique=unique).select("key", "value").orderBy("key")
 
     def get(self, key: str) -> str | None:
         for b in self.buffers:
@@ -217,7 +236,23 @@ class Store:
         return rows[0].value if rows else None
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        return multi_get(self.versions(), keys).select("key", "value")
+        """keys (column key) with their values, null where there is none. Only files whose range holds one of the keys are opened."""
+        files = {f.id: f for f in self.snapshot.state.files.values()}
+        hull = keys.agg(F.min("key").alias("a"), F.max("key").alias("z")).first()
+        if hull.a is None:
+            return keys.select("key", F.lit(None).cast("string").alias("value"))
+        some = [f for f in files.values() if may_hold(Bound.included(hull.a), Bound.included(hull.z), f.first_key, f.last_key)]
+        if len(some) > 1 and len(some) < MOST_RANGES:
+            ranges = self.spark.createDataFrame([(f.id, f.first_key, f.last_key) for f in some], "id long, first_key string, last_key string")
+            hit = {r.id for r in key_to_files(keys.select("key"), ranges).select("id").distinct().collect()}  # at most one row a file
+            some = [f for f in some if f.id in hit]
+        parts = self._opened(some)
+        rows = [(k, s, DELETE if v == "" else PUT, v) for b in self.buffers for k, (s, v) in b.items()]
+        if rows or not parts:
+            up = max(0, self.snapshot.next_seq - min((r[1] for r in rows), default=self.snapshot.next_seq))
+            parts.append(self.spark.createDataFrame([(k, s + up, op, v) for k, s, op, v in rows], VERSION))
+        unique = self._unique(self.snapshot.state) and not rows
+        return multi_get(reduce(DataFrame.unionByName, parts), keys, unique).select("key", "value")
 
     # Maintenance
 
@@ -243,7 +278,7 @@ class Store:
         files = [self.snapshot.state.files[i] for i in task.inputs() if i in self.snapshot.state.files]
         if not files:
             return False
-        rows = self.spark.read.schema(VERSION).parquet(*[f.path for f in files])
+        rows = reduce(DataFrame.unionByName, self._opened(files))
         # a delete may go only if no file outside the task holds older versions
         rest = [i for _, ids in self.snapshot.state.levels for i in ids if i not in set(task.inputs())] if task.kind == "tiered" else []
         bottom = task.bottom and not (task.kind == "tiered" and rest and task.tiers[-1][0] != self.snapshot.state.levels[-1][0])
@@ -258,21 +293,27 @@ class Store:
         state = replace(state, files={i: f for i, f in state.files.items() if i in used})
         new = replace(snap, state=state, next_id=max([snap.next_id, *[i + 1 for i in ids]]), gone=gone)
         try:
-            self.snapshot = self.catalog.commit(new, {"kind": "compaction", "task": task.kind, "inputs": task.inputs(), "output": ids})
+            self.snapshot = self.catalog.commit(new, {"kind": "compaction", "task": task.kind, "inputs": task.inputs(), "output": ids}, snap)
         except Conflict as e:
+            for f in out:
+                self.files.delete(f.path)
             self.refresh()
-            raise StaleTask("another writer came first; the task's output is left to vacuum") from e
+            raise StaleTask("another writer came first; the task's output is deleted") from e
         return True
 
     def vacuum(self, older_than: float = 0.0, keep_versions: int = 1) -> int:
-        """Delete files that none of the last keep_versions versions needs and that are older than the given time stamp (0: all)."""
-        needed = {p for v in self.catalog.versions()[-keep_versions:] for p in self.at(v).paths()}
+        """Delete all data files that none of the last keep_versions versions needs, those of failed writers too, and that are older than the time stamp.
+
+        Give a time before any running writer began; 0 takes all. Spark lists the files; the driver sees those to delete only.
+        """
+        needed = [(p,) for p in {p for v in self.catalog.versions()[-keep_versions:] for p in self.at(v).paths()}]
+        held = self.files.data_files("runs").withColumn("name", F.substring_index("path", "/runs/", -1))
+        names = self.spark.createDataFrame(needed, "path string").select(F.substring_index("path", "/runs/", -1).alias("name"))
+        lost = held.join(names, "name", "left_anti").filter(F.lit(not older_than) | (F.col("modified") < older_than))
         n = 0
-        for v in self.catalog.versions():
-            for p in self.at(v).paths():
-                if p not in needed and self.files.fs.exists(self.files.jvm.org.apache.hadoop.fs.Path(p)) and (not older_than or self.files.modified(p) < older_than):
-                    self.files.delete(p)
-                    n += 1
+        for r in lost.select("path").toLocalIterator():
+            self.files.delete(r.path)
+            n += 1
         return n
 
     def catalogue(self) -> DataFrame:
@@ -282,43 +323,61 @@ class Store:
         out = [(n, pos, i, f.bytes, f.rows, f.first_key, f.last_key, f.max_seq) for n, pos, i in rows if (f := state.files.get(i))]
         return self.spark.createDataFrame(out, "level int, pos int, id long, bytes long, rows long, first_key string, last_key string, max_seq long")
 
-    # The local log of unwritten buffers
-
-    @property
-    def _wal(self) -> str:
-        return f"{self.path.removeprefix('file://').removeprefix('file:')}/buffer.wal"
+    # The log of unwritten buffers: segments wal/<n>-<id>.log in order of n, through Spark's file systems, so it lies with the table
 
     def _append(self, key: str, value: str) -> None:
         if self._log is None:
-            os.makedirs(os.path.dirname(self._wal), exist_ok=True)
-            self._log = open(self._wal, "ab")  # noqa: SIM115
-        self._log.write(frame(key, value))
-        self._log.flush()
+            self._log = self.files.writer(self._segment())
+        self._log.write(bytearray(frame(key, value)))
+        self.files.flushed(self._log)
+
+    def _segment(self) -> str:
+        self._segments += 1
+        return f"wal/{self._segments:010d}-{uuid.uuid4().hex[:8]}.log"
+
+    def sync(self) -> None:
+        """All puts so far are safe after this. Stores that can't take part of a file get a file for each call."""
+        if self._log is not None and not self.files.flushed(self._log, sync=True):
+            self._log.close()
+            self._log = None
 
     def _recover(self) -> None:
-        if not os.path.exists(self._wal):
-            return
-        with open(self._wal, "rb") as f:
-            data = f.read()
-        for k, v in frames(data):
-            self.buffers[0][k] = (self.seq, v)
-            self.sizes[0] += len(k.encode()) + len(v.encode())
-            self.seq += 1
-        if (n := valid_bytes(data)) < len(data):
-            os.truncate(self._wal, n)
+        """Rows of all segments, each up to its first damaged frame; they then go to a segment of their own."""
+        old = [n for n in self.files.list("wal") if n.endswith(".log")]
+        self._segments = max([int(n[:10]) for n in old], default=0)
+        for name in old:
+            for k, v in frames(self.files.read(f"wal/{name}")):
+                self.buffers[0][k] = (self.seq, v)
+                self.sizes[0] += len(k.encode()) + len(v.encode())
+                self.seq += 1
+        if old:
+            self._rewrite_log()
 
     def _rewrite_log(self) -> None:
-        """Leave only what is not yet written."""
-        if self._log:
+        """Leave only what is not yet written: in a new segment, before the old ones go."""
+        old = [n for n in self.files.list("wal") if n.endswith(".log")]
+        if self._log is not None:
             self._log.close()
-        with open(f"{self._wal}.new", "wb") as f:
-            for b in reversed(self.buffers):
-                for k, (_, v) in sorted(b.items(), key=lambda x: x[1][0]):
-                    f.write(frame(k, v))
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(f"{self._wal}.new", self._wal)
-        self._log = open(self._wal, "ab")  # noqa: SIM115
+        self._log = self.files.writer(self._segment())
+        for b in reversed(self.buffers):
+            for k, (_, v) in sorted(b.items(), key=lambda x: x[1][0]):
+                self._log.write(bytearray(frame(k, v)))
+        self.sync()
+        for name in old:
+            self.files.delete(f"wal/{name}")
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session, for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def tombstones(df: DataFrame) -> DataFrame:

@@ -7,13 +7,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.codec import frames
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """path, pos, key, value of the valid frames of each file."""
+def decoded(files: DataFrame) -> DataFrame:
+    """path, pos, key, value of the valid frames of each file (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -21,12 +20,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["path", "pos", "key", "value"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, pos long, key string, value string")
+    return files.select("path", "content").mapInArrow(run, "path string, pos long, key string, value string")
 
 
-def valid_prefix(df: DataFrame, by: str = "file") -> DataFrame:
-    """Rows (file, pos, ok) before the first damaged one of their file."""
-    return df.withColumn("bad_", F.min(F.when(~F.col("ok"), F.col("pos"))).over(W.partitionBy(by))).filter("bad_ is null or pos < bad_").drop("bad_")
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The valid frames of all log files below a path."""
+    return decoded(spark.read.format("binaryFile").load(path))
 
 
 def last_writes(df: DataFrame) -> DataFrame:

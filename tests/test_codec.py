@@ -1,3 +1,4 @@
+import os
 import random
 import struct
 import zlib
@@ -5,6 +6,8 @@ import zlib
 from pyspark.sql import functions as F
 
 from runstore.functions import codec
+from runstore.operators import bloom
+from runstore.plans import catalogue
 from runstore.sources.wal import read_log
 
 
@@ -44,12 +47,36 @@ def test_packing_round_trip():
     assert len(codec.packed(entries, 32)) > 1
 
 
-def test_bloom():
-    hashed = lambda s: zlib.crc32(s.encode())
-    bloom = codec.Bloom([hashed(f"key_inserted_{i}") for i in range(10_000)], 10)
-    assert all(bloom.may_contain(hashed(f"key_inserted_{i}")) for i in range(10_000))
-    assert sum(bloom.may_contain(hashed(f"key_not_inserted_{i}")) for i in range(10_000)) < 200
-    assert codec.Bloom.bits_per_key(0.01) == 10 and bloom.probes == 6
+def test_crc_rows_against_zlib(spark, sf_dir):
+    want = {(r.key, r.seq): zlib.crc32(f"{r.key}\0{r.value}".encode()) for r in catalogue.kv(spark, sf_dir).collect()}
+    assert {(r.key, r.seq): r.crc for r in catalogue.crc32_rows(spark, sf_dir).collect()} == want
+
+
+def test_block_packing_against_a_fold(spark, sf_dir):
+    """Entries of a nation in order; a block is closed where the next entry, with its whole key, could pass 256 bytes."""
+    held = {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/supplier.parquet").collect(), key=lambda r: r.s_name):
+        blocks = held.setdefault(r.s_nationkey, [])
+        size = len(r.s_name) + len(str(r.s_suppkey)) + 6
+        if not blocks or blocks[-1]["bytes"] + size > 256:
+            blocks.append({"first": r.s_name, "entries": 0, "bytes": 2})
+        b = blocks[-1]
+        same = len(os.path.commonprefix([b["first"], r.s_name])) if b["entries"] else 0
+        b["entries"] += 1
+        b["bytes"] += size - same + 2
+    want = {(n, i): (b["entries"], b["bytes"], b["first"]) for n, blocks in held.items() for i, b in enumerate(blocks)}
+    assert {(r.nation, r.block): (r.entries, r.bytes, r.first_key) for r in catalogue.block_packing(spark, sf_dir).collect()} == want
+
+
+def test_bloom(spark):
+    keys = spark.range(10_000).select(F.format_string("key_%d", "id").alias("key"))
+    bits, probes = bloom.shape(10_000, 0.01)
+    assert (bits % bloom.PART, probes) == (0, 6) and bits >= 10 * 10_000
+    built = bloom.built(keys, bits, probes)
+    assert bloom.asked(keys, built, bits, probes).filter("not may_contain").count() == 0
+    other = spark.range(10_000).select(F.format_string("other_%d", "id").alias("key"))
+    assert bloom.asked(other, built, bits, probes).filter("may_contain").count() < 200
+    assert bloom.asked(other, built.limit(0), bits, probes).filter("may_contain").count() == 0
 
 
 def test_frames_stop_at_damage(spark, tmp_path):
