@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -17,21 +19,32 @@ def key_to_files(keys: DataFrame, files: DataFrame, broadcast_rows: int = 100_00
     n = files.count()
     if n <= broadcast_rows:
         return keys.join(F.broadcast(files), on)
-    some = files.filter(F.pmod(F.xxhash64("first_key"), F.lit(max(1, n // slices))) == 0)  # where to cut changes no answer
+    slice_of = _slices(files, n, slices)
+    reached = files.withColumn("slice_", F.explode(F.sequence(slice_of("first_key"), F.greatest(slice_of("first_key"), slice_of("last_key")))))
+    return keys.withColumn("slice_", slice_of("key")).join(reached, "slice_").filter(on).drop("slice_")
+
+
+def _slices(files: DataFrame, n: int, slices: int) -> Callable[[str], Column]:
+    """The slice of the key space that a column's key lies in; cuts are some of the files' first keys, and where to cut changes no answer."""
+    some = files.filter(F.pmod(F.xxhash64("first_key"), F.lit(max(1, n // slices))) == 0)
     cuts = sorted({r.first_key for r in some.select("first_key").limit(4 * slices).collect()}, key=str.encode)
     cut = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<string>")
+    return lambda c: F.size(F.filter(cut, lambda x: x <= F.col(c)))
 
-    def slice_of(c: str) -> Column:
-        return F.size(F.filter(cut, lambda x: x <= F.col(c)))
 
-    reached = files.withColumn("slice_", F.explode(F.sequence(slice_of("first_key"), F.greatest(slice_of("first_key"), slice_of("last_key")))))
-    return keys.withColumn("slice_", slice_of("key")).join(reached, "slice_").filter(on).drop("slice_")
+def overlapping(a: DataFrame, b: DataFrame, broadcast_rows: int = 100_000, slices: int = 256) -> DataFrame:
+    """Pairs of files whose ranges meet (columns prefixed a_ and b_).
 
-
-def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of files whose ranges meet (columns prefixed a_ and b_)."""
-    a, b = (x.select([F.col(c).alias(f"{p}_{c}") for c in x.columns]) for x, p in ((a, "a"), (b, "b")))
-    return a.join(b, (F.col("a_first_key") <= F.col("b_last_key")) & (F.col("b_first_key") <= F.col("a_last_key")))
+    If neither side is small, each file goes to every slice of the key space that it reaches, and a pair meets in the first slice of both.
+    """
+    n, m = a.count(), b.count()
+    slice_of = _slices(a, n, slices)
+    one, two = (x.select([F.col(c).alias(f"{p}_{c}") for c in x.columns]) for x, p in ((a, "a"), (b, "b")))
+    on = (F.col("a_first_key") <= F.col("b_last_key")) & (F.col("b_first_key") <= F.col("a_last_key"))
+    if min(n, m) <= broadcast_rows:
+        return one.join(F.broadcast(two), on) if m <= n else F.broadcast(one).join(two, on)
+    one, two = (x.withColumn(f"{p}_s", slice_of(f"{p}_first_key")).withColumn("s_", F.explode(F.sequence(F.col(f"{p}_s"), F.greatest(F.col(f"{p}_s"), slice_of(f"{p}_last_key"))))) for x, p in ((one, "a"), (two, "b")))
+    return one.join(two, "s_").filter(on & (F.col("s_") == F.greatest("a_s", "b_s"))).drop("s_", "a_s", "b_s")
 
 
 def level_counts(files: DataFrame) -> DataFrame:

@@ -141,9 +141,11 @@ KEYS = "keys AS (SELECT DISTINCT printf('u%05d|%s', c_custkey % 200, e.event_typ
 
 
 def _keys(spark, sf_dir):
-    kinds = table(spark, sf_dir, "events").select("event_type").distinct()
+    kinds = [r.event_type for r in table(spark, sf_dir, "events").select("event_type").distinct().limit(1001).collect()]
+    if len(kinds) > 1000:
+        raise ValueError("event types are expected to be few")
     users = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 200).alias("u")).distinct()
-    return users.join(F.broadcast(kinds)).select(F.format_string("u%05d|%s", "u", "event_type").alias("key"))
+    return users.select("u", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("event_type")).select(F.format_string("u%05d|%s", "u", "event_type").alias("key"))
 
 
 @query("SELECT keys.key, live.value FROM keys LEFT JOIN live ON keys.key = live.key", with_=f"{KV}, {KEYS}")

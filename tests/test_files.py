@@ -18,6 +18,16 @@ def test_sliced_join_equals_broadcast(spark):
     assert got == want == sorted((k.key, i) for k in keys.collect() for i, _, a, b in rows if a <= k.key <= b)
 
 
+def test_sliced_overlaps_equal_all_pairs(spark):
+    rng = random.Random(2)
+    rows = [(i, *sorted((f"k{rng.randrange(300):03d}", f"k{rng.randrange(300):03d}"))) for i in range(50)]
+    a = spark.createDataFrame(rows, "id int, first_key string, last_key string")
+    b = a.filter("id % 3 = 0")
+    want = sorted((i, j) for i, f, l in rows for j, x, y in rows if j % 3 == 0 and f <= y and x <= l)
+    for few in (100_000, 0):
+        assert sorted((r.a_id, r.b_id) for r in fl.overlapping(a, b, broadcast_rows=few, slices=12).collect()) == want
+
+
 def test_catalogue_checks(spark):
     files = spark.createDataFrame([(1, 1, 0, "a", "c"), (2, 1, 1, "c", "e"), (3, 1, 2, "f", "g"), (4, 2, 0, "z", "y")], "id int, level int, pos int, first_key string, last_key string")
     assert sorted(r.id for r in fl.out_of_order(files).collect()) == [1, 4]
