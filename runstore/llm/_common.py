@@ -8,17 +8,21 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 # Functions of this package travel to the executors by value, so that these need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
 _written: list[tuple[SparkSession, str]] = []
+_scopes: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("scopes", default=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,21 +42,43 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write df once as Parquet into the shared folder and read it back: lineage is cut, and lost executors cost nothing that was written."""
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write df once as Parquet into the shared folder and read it back: lineage is cut, and lost executors cost nothing that was written.
+
+    The table is deleted at the end of the innermost `passing` block (keep: of the one around it), or else when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    scopes = _scopes.get()
+    outer = scopes[:-1] if keep else scopes
+    (outer[-1] if outer else _written).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing() -> Iterator[None]:
+    """Tables stored inside are needed inside only."""
+    token = _scopes.set((*_scopes.get(), []))
+    try:
+        yield
+    finally:
+        mine = _scopes.get()[-1]
+        _scopes.reset(token)
+        for spark, path in mine:
+            _deleted(spark, path)
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _deleted(spark, path)
         except Exception:  # noqa: BLE001  the JVM has gone, or the cluster cleans the folder itself
             return
 
@@ -117,21 +143,25 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the lower-cased texts, and the text's index: words are runs of letters, digits and non-ASCII characters."""
-    data = np.frombuffer(" ".join([*texts, ""]).lower().encode(errors="replace"), np.uint8)
-    sizes = np.fromiter((len(t.lower().encode(errors="replace")) + 1 for t in texts), np.int64, len(texts))
+def runs_of_words(data: np.ndarray, inside: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of bytes that `inside` allows, and the index of the text it lies in; sizes: bytes of each text, with one that parts it from the next."""
     if not len(data):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    inside = _WORD[data]
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    held = inside[data]
+    edge = np.flatnonzero(np.diff(held, prepend=False, append=False))
     begin, end = edge[::2], edge[1::2]
     p, q = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(np.where(inside, data, 0).astype(np.uint64) * p[:-1], out=total[1:])
+    np.cumsum(np.where(held, data.astype(np.uint64) + np.uint64(1), np.uint64(0)) * p[:-1], out=total[1:])
     return mix64((total[end] - total[begin]) * q[begin]), np.searchsorted(np.cumsum(sizes), begin, side="right")
 
 
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of the lower-cased texts, and the text's index: words are runs of letters, digits and non-ASCII characters."""
+    data = [t.lower().encode(errors="replace") for t in texts]
+    return runs_of_words(np.frombuffer(b" ".join([*data, b""]), np.uint8), _WORD, [len(d) + 1 for d in data])
+
+
 def grams(word: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each place on; 0 where the text ends before."""
     m = len(word) - n + 1
@@ -198,3 +228,28 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int, least: int = 65536) ->
         held = [[c[cut:] for c in rows]]
     if held and len(held[0][0]):
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def bit_map(rids: DataFrame) -> Broadcast:
+    """A bit map of row keys (the first column), made by the tasks: 8 bits a key, 16 MB at most; it never misses a key."""
+    bits = min(27, max(16, int(rids.count() * 8).bit_length()))
+    width = min((1 << bits) // 8, 8192)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits, bool)
+        for batch in batches:
+            held[batch.column(0).to_numpy(zero_copy_only=False) & ((1 << bits) - 1)] = True
+        rows = np.packbits(held).reshape(-1, width)
+        part = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([rows[i].tobytes() for i in part], pa.binary())], names=["part", "bits"])
+
+    out = np.zeros(((1 << bits) // 8 // width, width), np.uint8)
+    for r in rids.mapInArrow(run, "part long, bits binary").toLocalIterator():
+        out[r.part] |= np.frombuffer(r.bits, np.uint8)
+    return rids.sparkSession.sparkContext.broadcast((bits, out.ravel()))
+
+
+def in_bit_map(held: tuple[int, np.ndarray], rids: pa.Array) -> pa.Array:
+    bits, packed = held
+    at = rids.to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
+    return pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))

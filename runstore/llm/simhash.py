@@ -8,45 +8,49 @@ of trie nodes that already lie in one component are left, as no link of theirs c
 most one edge per node. Components come from alternating large-star and small-star steps on stored tables.
 
 Nulls and edges: a null or blank text has fingerprint zero, linked like any other; a row whose id is null keeps its
-fingerprint, takes no part in links, and has a null component; repeated rows and ids agree; an empty table gives an empty
-result; other columns of the input are ignored.
+fingerprint, takes no part in links, and has a null component; repeated rows and ids agree; a long text is hashed whole, in pieces of
+65536 shingles; an empty table gives an empty result; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import passing, stored
+
+
+_GAP = re.compile(rb"[\x09-\x0d\x20]{2,}|[\x09-\x0d]")
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     """Hash of each shingle of the text, repeated ones too; a shorter text is one shingle."""
-    word = (text or "").encode(errors="replace").lower().split()  # bytes: only A-Z change, and only ASCII white space parts
-    if not word:
+    data = _GAP.sub(b" ", (text or "").encode(errors="replace").lower()).strip(b" ")  # bytes: only A-Z change, and only ASCII white space parts
+    if not data:
         return np.empty(0, np.uint64)
-    parts = [b" ".join(word)]
-    if len(word) > shingle:
-        joined = parts[0]
-        end = np.cumsum([len(w) + 1 for w in word])
-        parts = [joined[a : b - 1] for a, b in zip([0, *end[:-shingle].tolist()], end[shingle - 1 :].tolist(), strict=True)]
+    gap = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    begin, end = np.append(0, gap + 1)[: max(1, len(gap) + 2 - shingle)], np.append(gap, len(data))[min(shingle - 1, len(gap)) :]
     digest = xxhash.xxh64_digest
-    return np.frombuffer(b"".join([digest(p, 42) for p in parts]), ">u8").astype(np.uint64)
+    out = []
+    for i in range(0, len(begin), 65536):  # so that a long text is never a list of all its shingles
+        out.append(np.frombuffer(b"".join([digest(data[a:b], 42) for a, b in zip(begin[i : i + 65536].tolist(), end[i : i + 65536].tolist(), strict=True)]), ">u8"))
+    return np.concatenate(out).astype(np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     h = shingle_hashes(text, shingle).astype(">u8").view(np.uint8).reshape(-1, 8)
     if not len(h):
         return 0
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros(64)
     for i in range(0, len(h), 65536):
-        ones += np.unpackbits(h[i : i + 65536], axis=1).sum(axis=0, dtype=np.int64)
+        ones += np.ones(len(h[i : i + 65536]), np.float32) @ np.unpackbits(h[i : i + 65536], axis=1).astype(np.float32)  # counts, exact below 2 ** 24
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
@@ -128,6 +132,60 @@ def trie_forest(fp: np.ndarray, group: np.ndarray, distance: int, most: int = 1
     return label
 
 
+def trie_pairs(fp: np.ndarray, group: np.ndarray, label: np.ndarray, distance: int, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs a < b of a group whose labels differ and whose fingerprints lie within the distance. fp: words of 64 bits, highest first, sorted within each group; groups are together."""
+    n = fp.shape[1]
+    top = 64 * len(fp) - 1
+    changes = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+    start = np.flatnonzero(np.diff(group, prepend=group[0] - 1)) if n else np.zeros(0, np.int64)
+    stop = np.append(start[1:], n) if n else start
+    stack = [(top, (start, stop, start, stop, np.zeros(len(start), np.int16)))]
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while stack:
+        bit, front = stack.pop()
+        if len(front[0]) > most:
+            cut = len(front[0]) // 2
+            stack += [(bit, tuple(x[:cut] for x in front)), (bit, tuple(x[cut:] for x in front))]
+            continue
+        al, ah, bl, bh, _ = front
+        one = (changes[al] == changes[ah - 1]) & (changes[bl] == changes[bh - 1]) & (label[al] == label[bl])
+        front = tuple(x[~one] for x in front)
+        al, ah, bl, bh, err = front
+        small = ((ah - al) * (bh - bl) <= 64) | (bit < 0)
+        sal, sah, sbl, sbh = (x[small] for x in front[:4])
+        count = (sah - sal) * (sbh - sbl)
+        done = 0
+        while done < len(count):  # runs of node pairs with about `most` pairs of leaves in all
+            upto = max(done + 1, int(np.searchsorted(np.cumsum(count[done:]), most, side="right")) + done)
+            c = count[done:upto]
+            who = np.repeat(np.arange(done, upto), c)
+            k = np.arange(len(who)) - np.repeat(np.cumsum(c) - c, c)
+            wide = (sbh - sbl)[who]
+            a, b = sal[who] + k // wide, sbl[who] + k % wide
+            some = (a < b) & (label[a] != label[b])
+            a, b = a[some], b[some]
+            close = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in fp) <= distance
+            out_a.append(a[close])
+            out_b.append(b[close])
+            done = upto
+        front = tuple(x[~small] for x in front)
+        al, ah, bl, bh, err = front
+        if not len(al):
+            continue
+        word = fp[(top - bit) // 64]
+        ones = np.concatenate([[0], np.cumsum((word >> np.uint64(bit % 64)) & np.uint64(1), dtype=np.int64)])
+        am, bm = ah - (ones[ah] - ones[al]), bh - (ones[bh] - ones[bl])
+        self_ = al == bl
+        parts = [(al, am, bl, bm, err, None), (am, ah, bm, bh, err, None), (al, am, bm, bh, err + 1, None), (am, ah, bl, bm, err + 1, ~self_)]
+        new = []
+        for a0, a1, b0, b1, e, where in parts:
+            ok = (a1 > a0) & (b1 > b0) & (e <= distance) & ~((a0 == b0) & (a1 - a0 == 1))
+            ok = ok & where if where is not None else ok
+            new.append(tuple(x[ok] for x in (a0, a1, b0, b1, e)))
+        stack.append((bit - 1, tuple(np.concatenate(x) for x in zip(*new, strict=True))))
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
 def block_masks(distance: int, whole: int) -> list[int]:
     """Masks of every choice of `whole` blocks out of distance + whole blocks of 64 bits."""
     n = distance + whole
@@ -136,19 +194,22 @@ def block_masks(distance: int, whole: int) -> list[int]:
     return [sum(c) for c in combinations(block, whole)]
 
 
+def tiles(rows: DataFrame, bucket: list[str], by: str, tile: int, size: Column) -> DataFrame:
+    """Add mine, lo, hi: a bucket of `size` rows falls in parts of about `tile`, and each row meets every part of its bucket in a tile (lo, hi) of its own."""
+    rows = rows.withColumn("parts", F.ceil(size / tile).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64(by), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("other", "parts")
+
+
 def near_edges(nodes: DataFrame, distance: int = 4, tile: int = 4096) -> DataFrame:
     """a, b (b < a): edges whose components are those of all links. nodes: fp (distinct), rep (its id, distinct)."""
     n = nodes.count()
     whole = 1 if n <= 1 << 25 else 2 if n <= 1 << 32 else 3  # so that a bucket of evenly spread fingerprints stays small
     masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(distance, whole)]
     keyed = nodes.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("j", "v"))
-    large = keyed.groupBy("j", "v").agg(F.count("*").alias("n")).filter(F.col("n") > tile).withColumn("parts", F.ceil(F.col("n") / tile).cast("int")).drop("n")
+    large = keyed.groupBy("j", "v").agg(F.count("*").alias("k")).filter(F.col("k") > tile)
     large = stored(large)  # a plain table: a hot bucket can then be split in the join
-    keyed = keyed.join(large, ["j", "v"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    keyed = keyed.withColumn("mine", mine).withColumn("other", other)
-    keyed = keyed.select("j", "v", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp", "rep")
+    keyed = tiles(keyed.join(large, ["j", "v"], "left"), ["j", "v"], "fp", tile, F.coalesce("k", F.lit(1))).select("j", "v", "lo", "hi", "fp", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -185,13 +246,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))  # a plain table: the join can split a hub's edges
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = stored(large)
-        least = stored(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        with passing():
+            both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))  # a plain table: the join can split a hub's edges
+            large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+            large = stored(large)
+            least = stored(large.groupBy("a").agg(F.min("b").alias("m")))
+            small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            edges = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct(), keep=True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -210,17 +272,3 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, distance: int = 4, til
     named = nodes.join(root, nodes.rep == root.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     out = rows.filter("doc_id is not null").join(named, "fp").unionByName(rows.filter("doc_id is null").withColumn("component_id", F.lit(None).cast("long")))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """docs with one row of each group of `named` (doc_id, component_id), that with the least doc_id; rows with a null id stay, and of rows that share an id one stays."""
-    kept = named.filter("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if not named.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id is null"))
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group of near-duplicates, that with the least doc_id; rows with a null id stay, and of rows that share an id one stays."""
-    return representatives(docs, stored(near_duplicates(docs, **options)))

@@ -1,108 +1,112 @@
-"""Texts whose sets of word shingles agree to a given Jaccard similarity, found exactly.
-
-Shingles are brought in one order, those that are common in a sample last. Sets as similar as asked share one of the first
-n - ceil(similarity * n) + 1 shingles of each, so texts meet in buckets of such a shingle; any order is right, a good one keeps
-buckets small. First each text is compared with one text of each of its buckets, chosen at random, which joins large groups at
-the cost of a pair for each member. Then the pairs of a bucket that are not yet in one component are compared, but for those
-that sizes, places or parity bit maps already rule out; large buckets are dealt in tiles. Every link is confirmed on
-the whole sets, so neither step loses or adds a link's effect on the components.
-
-Nulls and edges: texts without words are equal; equal sets are one node, told by a 64-bit hash; a row whose id is null takes no
-part; rows that share an id each keep their own group; an empty table gives an empty result.
+"""SimHash near-duplicates at a Jaccard similarity: tries of long fingerprints propose, whole sets of shingles decide.
+
+Two sets at a similarity s differ in a bit of their fingerprints with a probability of acos(2 s / (1 + s)) / pi at most: at 0.8 in
+19 of 128 bits, so no split of the bits into blocks brings all such pairs together at less than the cost of all pairs. Nodes
+(distinct sets) therefore meet in buckets of equal bands of min-wise hashes: `bands` of `rows` each, which a pair at 0.8 misses
+altogether with a probability of (1 - 0.8 ** 4) ** 16 = 0.0002. Within its buckets the tries of the fingerprints are walked
+together, pairs of trie nodes go beyond the error budget (the expected bits and 3.3 deviations: one pair of 2000 at exactly 0.8
+exceeds it), and what is left is confirmed on the whole sets, so a link is never wrong.
+
+First each node is compared with the least one of each of its buckets, which joins a large group of copies at the cost of a few
+pairs for each member. Then the tries are walked, but for pairs of trie nodes that lie in one component already. Large
+buckets are dealt in tiles. Equal sets are one node from the start.
+
+Nulls and edges: texts without words are equal; a text of fewer words than a shingle is one shingle; a long text is hashed whole,
+in numpy arrays of some 40 bytes a word; equal sets are told by a 64-bit hash of them; a row whose id is null takes no part, and
+stays; rows that share an id but not the text are rows of their own; of a group, the row with the least id stays (ties: the
+least hash of its text, then any of equal rows); an empty table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, stored
-from .simhash import components, representatives, shingle_hashes
-
-_BITS = 20
-SAMPLE = 4096
-COMMON = 1 << 18
-
-
-def _sets(texts: list[str], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Signature and sorted distinct shingles of each text."""
-    import xxhash
-
-    for t in texts:
-        h = np.unique(shingle_hashes(t, shingle))
-        yield xxhash.xxh64_intdigest(h.tobytes(), 42), h
+from ._common import bit_map, chunks, grams, in_bit_map, mix64, passing, runs_of_words, stored
+from .simhash import components, tiles, trie_pairs
+
+WIDE = 2  # words of 64 bits in a fingerprint
+_SPACE = np.ones(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = False
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+
+
+def shingle_sets(texts: list[str], shingle: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles; only A-Z are folded, and only ASCII white space parts words."""
+    data = [t.encode(errors="replace") for t in texts]
+    word, owner = runs_of_words(_FOLD[np.frombuffer(b" ".join([*data, b""]), np.uint8)], _SPACE, [len(d) + 1 for d in data])
+    g = grams(word, owner, shingle)
+    cut = np.searchsorted(owner, np.arange(len(texts) + 1))
+    out = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        n = min(shingle, b - a)
+        h = np.sort(g[a : b - shingle + 1] if n == shingle else grams(word[a:b], owner[a:b], n)[:1] if n else g[:0])
+        new = np.ones(len(h), bool)
+        np.not_equal(h[1:], h[:-1], out=new[1:])
+        out.append(h[new])
+    return out
+
+
+def wide_fingerprint(h: np.ndarray) -> list[int]:
+    """WIDE words of 64 bits, each bit 1 if set in over half the hashes."""
+    ones = np.zeros(64 * WIDE)
+    for i in range(0, len(h), 65536):
+        x = np.stack([h[i : i + 65536], *(mix64(h[i : i + 65536] + np.uint64(k)) for k in range(1, WIDE))], axis=1)
+        bits = np.unpackbits(x.astype(">u8").view(np.uint8), axis=1)
+        ones += np.ones(len(bits), np.float32) @ bits.astype(np.float32)  # counts, exact below 2 ** 24
+    return np.packbits(ones * 2 > len(h)).view(">u8").tolist()
+
+
+def factors(n: int) -> np.ndarray:
+    """n odd numbers, fixed by a rule."""
+    return mix64(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def band_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A hash of each band of min-wise hashes."""
+    by = factors(bands * rows)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max)
+    for i in range(0, len(h), 4096):
+        np.minimum(least, np.multiply.outer(by, h[i : i + 4096]).min(axis=1), out=least)
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for c in least.reshape(bands, rows).T:
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + c)
+    return key
+
+
+def budget(similarity: float) -> int:
+    """Bits in which fingerprints of sets as similar as asked differ, and 3.3 deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * WIDE
+    return math.ceil(n * p + 3.3 * math.sqrt(n * p * (1 - p)))
 
 
 def _signed(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
 
-def _common(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles that several texts of a sample hold, rarer ones first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches):
-            h = [h for _, h in _sets(texts, shingle)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *h]).view(np.int64))], names=["h"])
-
-    n = docs.count()
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n // SAMPLE))) == 0)
-    count = sample.mapInArrow(run, "h long").groupBy("h").count().filter("count > 2")
-    return np.array([r.h for r in count.orderBy(F.desc("count"), "h").limit(COMMON).collect()][::-1], np.int64).view(np.uint64)
-
-
-def parity(h: np.ndarray, width: int) -> bytes:
-    """A bit for each residue of the hashes: whether an odd number of them has it."""
-    return np.packbits(np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1).tobytes()
-
-
-def folded(wide: bytes, size: int) -> np.ndarray:
-    """The parity of the same hashes over fewer residues."""
-    return np.bitwise_xor.reduce(np.frombuffer(wide, np.uint8).reshape(-1, size), axis=0)
-
-
-def plausible(pairs: DataFrame, nodes: DataFrame, ratio: Fraction) -> DataFrame:
-    """a, b: the pairs that sizes and parities don't rule out. nodes: sig, n, wide."""
-    p, q = ratio.numerator, ratio.denominator
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for m, n, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                size = min(len(x), len(y))
-                keep.append(q * min(m, n) >= p * max(m, n) and int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) * (p + q) <= (m + n) * (q - p))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    one, two = (nodes.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
-    return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long"))
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, ratio: Fraction) -> DataFrame:
-    """a, b: the pairs whose whole sets are as similar as asked. nodes: sig, least, n, wide."""
-    spark = docs.sparkSession
-    pairs = plausible(pairs, nodes, ratio)
-    bit = F.pmod(F.col("least"), F.lit(1 << _BITS)).cast("int")
-    sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    wanted = np.zeros(1 << _BITS, bool)
-    for r in nodes.join(sigs, "sig", "left_semi").select(bit.alias("bit")).distinct().toLocalIterator():
-        wanted[r.bit] = True
-    mask = spark.sparkContext.broadcast(np.packbits(wanted))
+    """a, b: the pairs whose whole sets are as similar as asked. nodes: sig, rid (of the row that stands for it)."""
+    pairs = stored(pairs)
+    sigs = stored(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
+    shared = bit_map(nodes.join(sigs, "sig", "left_semi").select("rid"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = np.unpackbits(mask.value).astype(bool)
         for batch in batches:
-            own = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for _, texts in chunks([batch.filter(pa.array(want[own & ((1 << _BITS) - 1)]))]):
-                some = list(_sets(texts, shingle))
-                yield pa.RecordBatch.from_arrays([_signed([s for s, _ in some]), pa.array([h.tobytes() for _, h in some], pa.binary())], names=["sig", "words"])
+            for _, texts in chunks([batch.filter(in_bit_map(shared.value, batch.column("rid")))]):
+                some = shingle_sets(texts, shingle)
+                yield pa.RecordBatch.from_arrays([_signed([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in some]), pa.array([h.tobytes() for h in some], pa.binary())], names=["sig", "words"])
 
-    whole = docs.mapInArrow(fetch, "sig long, words binary").join(sigs, "sig", "left_semi").dropDuplicates(["sig"])
-    whole = stored(whole)
+    whole = docs.select("rid", "text").mapInArrow(fetch, "sig long, words binary").join(sigs, "sig", "left_semi").dropDuplicates(["sig"])
+    whole = stored(whole)  # a plain table: a hub's pairs can then be split in the joins
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,104 +121,91 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long"))
 
 
-def open_pairs(rows: tuple, ratio: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one bucket in different components that may be similar. rows: sig, label, n, place, part, bits (as words); whether only parts meet."""
-    sig, label, n, place, part, bits, across = rows
-    p, q = ratio.numerator, ratio.denominator
-    if (label == label[0]).all():
-        return
-    for i in range(len(sig) - 1):
-        j = np.arange(i + 1, len(sig))
-        j = j[(label[j] != label[i]) & (q * np.minimum(n[j], n[i]) >= p * np.maximum(n[j], n[i]))]
-        j = j[part[j] != part[i]] if across else j
-        # of a pair's first common shingle: those after it bound what the sets share
-        j = j[np.minimum(n[j] - place[j], n[i] - place[i]) * (p + q) >= p * (n[j] + n[i])]
-        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        j = j[apart * (p + q) <= (n[j] + n[i]) * (q - p)]  # sets differ in as many shingles at least
-        if len(j):
-            yield np.minimum(sig[j], sig[i]), np.maximum(sig[j], sig[i])
-
-
-def groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, tile: int = 1024) -> DataFrame:
-    """doc_id, component_id (the least doc_id reachable over links), for each row whose id is not null."""
-    spark = docs.sparkSession
+def groups(docs: DataFrame, **options) -> DataFrame:
+    """rid, doc_id, component_id (the least doc_id reachable over links), first (the rid that stands for its group), for each row whose id is not null."""
+    with passing():
+        return stored(_groups(docs, **options), keep=True)
+
+
+def _groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bands: int = 16, rows: int = 4, tile: int = 4096) -> DataFrame:
     ratio = Fraction(str(similarity))
+    most = budget(similarity)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    common = _common(docs, shingle)
-    shared = spark.sparkContext.broadcast((common[(order := np.argsort(common))], order + 1))
+    docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, place = shared.value
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
-            sigs, heads, sizes, bits, wide = [], [], [], [], []
-            for sig, h in _sets(texts, shingle):
-                rank = np.zeros(len(h), np.int64)
-                if len(value):
-                    at = np.minimum(np.searchsorted(value, h), len(value) - 1)
-                    rank = np.where(value[at] == h, place[at], 0)
-                head = len(h) - -(-ratio.numerator * len(h) // ratio.denominator) + 1 if len(h) else 0
-                sigs.append(sig)
-                sizes.append(len(h))
-                bits.append(parity(h, 512))
-                wide.append(parity(h, max(512, 1 << len(h).bit_length())))
-                heads.append(h[np.lexsort((h, rank))[:head]].view(np.int64))
-            kinds = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _signed(sigs), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(heads, kinds)], names=["doc_id", "sig", "n", "bits", "wide", "head"])
-
-    rows = stored(docs.mapInArrow(prefixes, "doc_id long, sig long, n long, bits binary, wide binary, head array<long>"))
-    head = rows.select("sig", F.posexplode("head").alias("place", "h"))
-    held = stored(head.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi").select("h"))
-    members = stored(head.join(held, "h").distinct())
-
-    first = stored(rows.groupBy("sig").agg(F.min("doc_id").alias("least")))  # of the texts with one set, that with the least id stands for it
-    nodes = stored(rows.select("doc_id", "sig", "n", "bits", "wide").join(first, "sig").filter("doc_id = least").drop("doc_id").dropDuplicates(["sig"]))
-
-    hub = stored(members.groupBy("h").agg(F.min_by("sig", F.xxhash64("h", "sig")).alias("hub")))
-    pairs = members.join(hub, "h").filter("sig <> hub").select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
-    near = confirmed(pairs, docs, nodes, shingle, ratio)
-
+            sets = shingle_sets(texts, shingle)
+            fp = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
+            columns = [part.column("rid"), part.column("doc_id"), _signed([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in sets]), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(fp[:, i]) for i in range(WIDE)), pa.array([band_keys(h, bands, rows).view(np.int64) for h in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "sig", "n", *words_, "bands"])
+
+    words_ = [f"f{i}" for i in range(WIDE)]
+    told = stored(docs.mapInArrow(described, f"rid long, doc_id long, sig long, n long, {', '.join(f'{w} long' for w in words_)}, bands array<long>"))
+    nodes = stored(told.groupBy("sig").agg(F.min(F.struct("doc_id", "rid")).alias("least"), *(F.first(c).alias(c) for c in ("n", *words_, "bands"))))  # equal sets have equal columns
+    slim = nodes.select("sig", F.col("least.doc_id").alias("doc_id"), F.col("least.rid").alias("rid"), "n", *words_)
+    band = nodes.select("sig", F.explode("bands").alias("v"))
+    held = stored(band.groupBy("v").agg(F.min("sig").alias("hub"), F.max("sig").alias("top"), F.count("*").alias("k")).filter("hub <> top").drop("top"))
+    members = stored(band.join(held, "v"))
+
+    def in_reach(pairs: DataFrame) -> DataFrame:
+        """Pairs whose fingerprints lie within the budget, and whose sizes allow the similarity."""
+        x, y = (slim.select(F.col("sig").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", *words_))) for s in "ab")
+        apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words_[1:]), F.bit_count(F.col(f"{words_[0]}_a").bitwiseXOR(F.col(f"{words_[0]}_b"))))
+        fits = F.least("n_a", "n_b") * ratio.denominator >= F.greatest("n_a", "n_b") * ratio.numerator
+        return pairs.join(x, "a").join(y, "b").filter((apart <= most) & fits).select("a", "b")
+
+    first = members.filter("sig <> hub").select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct()
+    near = confirmed(in_reach(first), docs, slim, shingle, ratio)
     label = stored(components(near))
-    small = nodes.select("sig", "n", "bits").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    large = stored(members.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > tile).select("h", F.ceil(F.col("k") / tile).cast("int").alias("parts")))
-    dealt = members.join(small, "sig").join(large, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("h", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "sig", "root", "n", "place", "mine", "bits")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(table: pa.Table) -> pa.RecordBatch:
-            h, lo, hi, sig, root, n, place, mine = (table.column(i).to_numpy() for i in range(8))
-            bits = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint64).reshape(-1, 8)
-            cut = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]]))
-            out = [x for a, b in zip(cut, cut[1:], strict=False) if b - a > 1 for x in open_pairs((sig[a:b], root[a:b], n[a:b], place[a:b], mine[a:b], bits[a:b], lo[a] != hi[a]), ratio)]
-            pair = np.concatenate([np.empty((2, 0), np.int64), *map(np.stack, out)], axis=1)
-            pair = np.unique(pair, axis=1)
+
+    sized = members.filter("k > 2")  # of two, one was compared with the other
+    rooted = slim.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    dealt = tiles(sized.join(rooted.select("sig", "root", "n", *words_), "sig"), ["v"], "sig", tile, F.col("k"))
+    columns = ["v", "lo", "hi", "mine", "sig", "root", "n", *words_]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows_: np.ndarray) -> pa.RecordBatch:
+            group = np.cumsum(np.any(np.diff(rows_[:3], axis=1, prepend=rows_[:3, :1]) != 0, axis=0))
+            fp = rows_[7:].view(np.uint64)
+            order = np.lexsort((*fp[::-1], group))
+            x, fp, group = rows_[:, order], fp[:, order], group[order]
+            across = x[1] != x[2]
+            a, b = trie_pairs(fp, group, x[5], most)
+            ok = ~(across[a] & (x[3][a] == x[3][b]))  # a tile of two parts compares them only with each other
+            ok &= np.minimum(x[6][a], x[6][b]) * ratio.denominator >= np.maximum(x[6][a], x[6][b]) * ratio.numerator
+            pair = np.unique(np.stack([np.maximum(x[4][a[ok]], x[4][b[ok]]), np.minimum(x[4][a[ok]], x[4][b[ok]])]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
-        rest: pa.Table | None = None
+        rest: list[np.ndarray] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = pa.Table.from_batches([batch])
-            rest = pa.concat_tables([rest, new]) if rest is not None else new
-            if rest.num_rows < 16384:
+            rest.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(batch.num_columns)]))
+            if sum(x.shape[1] for x in rest) < 65536:
                 continue
-            key = np.stack([rest.column(i).to_numpy().astype(np.int64) for i in range(3)])
-            same = np.all(key == key[:, -1:], axis=0)
-            cut = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
+            now = np.concatenate(rest, axis=1)
+            same = np.all(now[:3] == now[:3, -1:], axis=0)
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
             if cut:
-                yield found(rest.slice(0, cut))
-                rest = rest.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield found(rest)
+                yield found(now[:, :cut])
+            rest = [now[:, cut:]]
+        if rest and (now := np.concatenate(rest, axis=1)).shape[1]:
+            yield found(now)
 
-    keys = ["h", "lo", "hi"]
-    more = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
-    root = components(near.unionByName(confirmed(more, docs, nodes, shingle, ratio)))
-    named = stored(first.join(root.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
-    least = stored(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    return rows.select("doc_id", "sig").join(named.join(least, "root").select("sig", "component_id"), "sig").select("doc_id", "component_id")
+    keys = ["v", "lo", "hi"]
+    more = dealt.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk, "a long, b long").distinct()
+    root = components(near.unionByName(confirmed(more, docs, slim, shingle, ratio)))
+    named = stored(slim.select("sig", "doc_id", "rid").join(root.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
+    least = stored(named.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("least")))
+    of = stored(named.join(least, "root").select("sig", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("first")))
+    return told.select("rid", "doc_id", "sig").join(of, "sig").select("rid", "doc_id", "component_id", "first")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group, that with the least doc_id; rows with a null id stay, and of rows that share an id one stays."""
-    return representatives(docs, stored(groups(docs, **options)))
+    """docs with one row of each group, as it is; rows with a null id stay."""
+    named = groups(docs, **options)
+    kept = named.filter("rid = first").groupBy("rid").agg(F.count("*").alias("n"))
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("rid"), F.col("doc_id").isNull().alias("no_id"))
+    out = row.filter("not no_id").join(kept, "rid", "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        out = out.dropDuplicates(["rid"])
+    return out.select("row.*").unionByName(row.filter("no_id").select("row.*"))

@@ -34,10 +34,17 @@ def slow_components(fp, distance=4):
 
 
 def test_fingerprint():
-    for t in [None, "", " \t ", "One", "a B c", "a b c d", "É é\x85É x y", "the cat sat on the mat " * 9]:
+    for t in [None, "", " \t ", "One", "a B c", "a b c d", "É é\x85É x y", "the cat sat on the mat " * 9, "a\t\tb\x0bc\x0c\r\nd  e ", "\x1ca\x1db c d e", " lead and trail "]:
         assert simhash.fingerprint(t) == slow_fingerprint(t)
 
 
+def test_a_long_text():
+    words = [f"w{i % 977}" for i in range(400_000)]
+    got = simhash.shingle_hashes(" ".join(words), 4)
+    assert len(got) == len(words) - 3
+    assert [int(got[i]) for i in (0, 65535, 65536, 399_996)] == [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in (0, 65535, 65536, 399_996)]
+
+
 def test_spark_agrees_with_xxhash(spark):
     from pyspark.sql import functions as F
 

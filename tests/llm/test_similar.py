@@ -1,6 +1,9 @@
 """Links by similarity against all pairs by brute force."""
 
 import random
+import re
+
+import numpy as np
 
 import corpus_pipeline
 from runstore.llm import similar
@@ -43,6 +46,7 @@ def texts():
 def test_groups_against_all_pairs(spark):
     t = texts()
     docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(t)] + [(None, t[0], "en", "s", 0)], DOCS).repartition(3)
+    docs = docs.unionByName(docs.filter("doc_id = 3")).withColumn("rid", docs.lang)
     want = dict(enumerate(slow_groups(t)))
     assert len(set(want.values())) < len(t) - 60
     assert {r.doc_id: r.component_id for r in similar.groups(docs, tile=8).collect()} == want
@@ -51,6 +55,54 @@ def test_groups_against_all_pairs(spark):
     assert similar.groups(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_keep_their_texts(spark):
+    t = texts()[:2]
+    rows = [(7, t[0], "en", "a", 1), (7, t[1], "en", "b", 2), (8, t[1], "en", "c", 3), (None, t[0], "en", "d", 4), (None, t[0], "en", "d", 4)]
+    out = similar.one_of_each(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id or 0, r.text, r.source) for r in out) == sorted([(0, t[0], "d"), (0, t[0], "d"), (7, t[0], "a"), (7, t[1], "b")])
+
+
+def test_recall_near_the_limit(spark):
+    """Pairs at 0.8 to 0.9: those that brute force links, and no others."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    t = []
+    for _ in range(400):
+        base = rng.choices(vocabulary, k=rng.randrange(40, 300))
+        at = sorted(rng.sample(range(len(base)), max(1, len(base) // rng.randrange(40, 60))))
+        t += [" ".join(base), " ".join(rng.choice(vocabulary) if i in at else w for i, w in enumerate(base))]
+    want = slow_groups(t)
+    linked = [i for i in range(1, len(t), 2) if want[i] == i - 1]
+    got = {r.doc_id: r.component_id for r in similar.groups(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).collect()}
+    assert len(linked) > 150
+    assert all(got[i] in (i, want[i]) for i in got)
+    assert sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
+
+
+def test_trie_pairs_against_all_pairs():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (2, 20), np.uint64)
+    fp = np.concatenate([base] * 9, axis=1)
+    for _ in range(25):
+        fp[rng.integers(0, 2, fp.shape[1]), np.arange(fp.shape[1])] ^= np.uint64(1) << rng.integers(0, 63, fp.shape[1]).astype(np.uint64)
+    group = np.sort(rng.integers(0, 3, fp.shape[1]))
+    label = rng.integers(0, 40, fp.shape[1])
+    order = np.lexsort((fp[1], fp[0], group))
+    fp, group, label = fp[:, order], group[order], label[order]
+    a, b = similar.trie_pairs(fp, group, label, 32, most=64)
+    want = {(i, j) for i in range(len(group)) for j in range(i + 1, len(group)) if group[i] == group[j] and label[i] != label[j] and sum((int(w[i]) ^ int(w[j])).bit_count() for w in fp) <= 32}
+    assert len(want) > 50 and set(zip(a.tolist(), b.tolist(), strict=True)) == want
+
+
+def test_shingle_sets():
+    for t in ("", "one", "A b\tc", "a b c d e", "a  b c d e f É é a b c d e f", "x " * 50):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c < "\x7f" else c for c in t))
+        grams = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        assert len(similar.shingle_sets([t, "other"], 5)[0]) == len(grams)
+    a, b = similar.shingle_sets(["p q r s t u", "z P Q r s T u"], 5)
+    assert len(set(a.tolist()) & set(b.tolist())) == 2
+
+
 def test_groups_of_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.orderBy("doc_id").select("doc_id", "text").collect()
