@@ -8,9 +8,11 @@ A filter of width w over embedded bytes is a sum of w table look-ups, one table
 applying the network needs no matrix product per byte. Training learns the tables directly, by Adam on cross-entropy.
 
 Training reads a sample that is bounded by `per_language` rows for each language (a hash of the row decides; 400 by default) and
-two windows of each row. Prediction covers every byte of every text.
+`per_row` stretches of each row's text, spread evenly from its begin to its end. Prediction covers every byte of every text.
 
-Nulls and edges: a null text, or one without letters, is `und` with score 0; so is every text if no row is labelled.
+Nulls and edges: a null text, or one without letters (Unicode category L), is `und` with score 0; languages that score alike go by
+name, so ties are stable; repeated rows agree; a long text is judged whole, some windows at a time; other columns are ignored, and
+passed on by `accepted`; so is every text if no row is labelled.
 Rows with null language are never learned from. Equal texts get equal answers. An empty table gives an empty result.
 """
 
@@ -28,7 +30,12 @@ from pyspark.sql import functions as F
 from ._common import Shared, chunks
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE = re.compile(r"[^\W\d_]")
+
+
+def has_letters(text: str) -> bool:
+    """Whether a character of category L is there; the pattern alone lets numbers such as ½ and Ⅷ pass."""
+    return any(m[0].isalpha() for m in _MAYBE.finditer(text))
 
 
 class Network:
@@ -98,7 +105,7 @@ def windows(data: bytes) -> np.ndarray:
     return np.frombuffer(data.ljust(n * WINDOW), np.uint8).reshape(n, WINDOW)
 
 
-def learned(docs: DataFrame, allowed: Column, *, per_language: int = 400, seed: int = 3) -> Network | None:
+def learned(docs: DataFrame, allowed: Column, *, per_language: int = 400, per_row: int = 4, seed: int = 3) -> Network | None:
     """A network trained on about per_language rows of each language among the rows that `allowed` selects; None if there are none."""
     rows = docs.filter(allowed).filter("lang is not null and text is not null and doc_id is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
@@ -106,14 +113,15 @@ def learned(docs: DataFrame, allowed: Column, *, per_language: int = 400, seed:
         return None
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
     least = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(int((1 << 30) * min(1.0, per_language / n))))])
-    place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.greatest(F.lit(1), F.length("text") - WINDOW)).cast("int")
-    some = rows.filter(draw < least[F.col("lang")]).select("doc_id", "lang", F.substring("text", 1, WINDOW).alias("a"), F.col("text").substr(place + 1, F.lit(WINDOW)).alias("b"))
+    spare = F.greatest(F.lit(0), F.length("text") - WINDOW)
+    parts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(per_row - 1)), lambda i: F.col("text").substr(F.floor(spare * i / max(1, per_row - 1)).cast("int") + 1, F.lit(WINDOW))))
+    some = rows.filter(draw < least[F.col("lang")]).select("doc_id", "lang", parts.alias("parts"))
     languages = sorted(sizes)
     index = {lang: i for i, lang in enumerate(languages)}
     x, y = [], []
-    for r in sorted(some.toLocalIterator(), key=lambda r: (r["doc_id"], r["lang"], r["a"])):
-        for t in {r["a"], r["b"]}:
-            if _LETTER.search(t):
+    for r in sorted(some.toLocalIterator(), key=lambda r: (r["doc_id"], r["lang"], r["parts"])):
+        for t in r["parts"]:
+            if has_letters(t):
                 x.append(windows(t.encode(errors="replace"))[0])
                 y.append(index[r["lang"]])
     if not x:
@@ -139,7 +147,7 @@ def judged(net: Network | None, texts: list[str | None]) -> tuple[list[str], np.
         rows.clear(), owner.clear(), share.clear()
 
     for i, text in enumerate(texts):
-        if net is None or not text or not _LETTER.search(text):
+        if net is None or not text or not has_letters(text):
             continue
         data = text.encode(errors="replace")
         full = windows(data)
