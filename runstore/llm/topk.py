@@ -3,13 +3,15 @@
 Every Arrow batch of vectors is a shard: median splits on the widest axis down to leaves of `leaf` vectors, with a tight box
 at each node. No vector of a box scores more than sum(max(q * low, q * high)), so a query opens nodes by falling bound and stops
 when the bound lies below its kth best score so far. That kth score goes from shard to shard of a task, and starts from the kth
-best over one bounded sample of the vectors, which is a valid floor. Queries come in blocks of `block` rows; only a block goes
-to the executors. Each task leaves at most k rows per query; a ranking per query merges them.
+best over one bounded sample of the vectors, which is a valid floor. The scaled vectors and the queries are stored once. Queries come in
+blocks of `block` rows, and `block_bytes` bytes at most; only a block goes to the executors. Each task leaves at most k rows per query; a ranking per query merges them.
 
 Nulls and edges: rows with a null id, a null vector, or null or non-finite components take no part, neither as queries nor as
 candidates; vectors meet only vectors of their length; a row is its query's own if it has its id; if an id has several
 vectors, the least one is the query, all are candidates of others, and the id's best score counts; ties go to the smaller id;
-fewer than k candidates are all returned; an empty table gives an empty result. Scores are exact 64-bit integers.
+fewer than k candidates are all returned; other columns, whatever their names, are ignored; an empty table gives an empty result.
+Scores are exact integers (doubles where all sums stay below 2 ** 53, then 64 bits, then Python's); one beyond 64 bits is given as
+the largest or smallest that fits.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ._common import stored
+
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -118,16 +122,22 @@ def batches_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]
 
 
 def exact(x: np.ndarray, largest: int) -> np.ndarray:
-    """As doubles, whose products are fast, where no sum can pass 2**53."""
-    return x.astype(np.float64) if x.shape[1] * largest * max(1, int(np.abs(x).max(initial=0))) < 1 << 53 else x.astype(np.int64)
+    """As doubles, whose products are fast, where no sum can pass 2 ** 53; as Python integers where one can pass 64 bits."""
+    most = x.shape[1] * largest * max(1, max((abs(int(v)) for v in (x.min(initial=0), x.max(initial=0)))))
+    return x.astype(np.float64) if most < 1 << 53 else x.astype(np.int64) if most < 1 << 62 else x.astype(object)
+
+
+def widest(x: np.ndarray) -> int:
+    return max(1, abs(int(x.min(initial=0))), abs(int(x.max(initial=0))))
 
 
-def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024, leaf: int = 128, block: int = 8192, sample: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024, leaf: int = 128, block: int = 8192, block_bytes: int = 64 << 20, sample: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k best vectors for each row of vectors that the condition `queries` (on vec_id) selects."""
     spark = vectors.sparkSession
-    rows = scaled(vectors, scale)
-    asked = rows.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = asked.count()
+    rows = stored(scaled(vectors, scale))
+    asked = stored(rows.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v")))
+    n, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    block = max(1, min(block, block_bytes // (8 * max(1, width or 0))))
     out = spark.createDataFrame([], OUT)
     first = [(r.vec_id, r.v) for r in rows.limit(sample).collect()] if n else []
     parts = -(-n // block)
@@ -145,10 +155,11 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024
             floor = np.full(len(ids), np.iinfo(np.int64).min)
             if len(best_of) > k:
                 at, sv = np.array(list(best_of)), np.array(list(best_of.values()), np.int64)
-                m = max(1, int(np.abs(qs).max(initial=0)))
-                score = (exact(qs, int(np.abs(sv).max(initial=0))) @ exact(sv, m).T).astype(np.int64)
-                score[ids[:, None] == at] = np.iinfo(np.int64).min
-                floor = np.partition(score, -k, axis=1)[:, -k]
+                q, w = exact(qs, widest(sv)), exact(sv, widest(qs))
+                if q.dtype == w.dtype and q.dtype != object:  # else no floor is given
+                    score = (q @ w.T).astype(np.int64)
+                    score[ids[:, None] == at] = np.iinfo(np.int64).min
+                    floor = np.partition(score, -k, axis=1)[:, -k]
             by_size[d] = (ids, qs, floor)
         out = out.union(_searched(rows, spark.sparkContext.broadcast(by_size), k, leaf))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -164,7 +175,7 @@ def _searched(rows: DataFrame, shared, k: int, leaf: int) -> DataFrame:
                 if x.shape[1] not in shared.value:
                     continue
                 own, qs, floor = shared.value[x.shape[1]]
-                x = exact(x, int(np.abs(qs).max(initial=0)))
+                x = exact(x, widest(qs))
                 q = qs.astype(x.dtype)
                 tree = Tree(ids, x, leaf)
                 for i in range(0, len(q), 512):
@@ -172,7 +183,7 @@ def _searched(rows: DataFrame, shared, k: int, leaf: int) -> DataFrame:
                     for r in range(len(bound)):
                         at = i + r
                         tree.search(q[at], int(own[at]), bound[r], found.setdefault(int(own[at]), []), int(floor[at]), k)
-        out = [(i, -v, s) for i, best in found.items() for s, v in best]
+        out = [(i, -v, min(max(s, -(1 << 63)), (1 << 63) - 1)) for i, best in found.items() for s, v in best]
         cols = zip(*out, strict=True) if out else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 

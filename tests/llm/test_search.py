@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -68,6 +69,99 @@ def test_leaks(spark):
     assert sorted((r.doc_id, r.item_id, r.score, r.first_word) for r in got) == [(1, 9, 1.0, 0), (2, 9, 1.0, 1)]
 
 
+def slow_leaks(docs, items):
+    """Best alignment of each document with each item: score, most matching words among best alignments, place of the words."""
+    out = {}
+    for d, t in docs.items():
+        for i, w in items.items():
+            best, top = {}, (0, 0)
+            for a in range(len(w) + 1):
+                for b in range(len(t) + 1):
+                    here = [(0, 0, b)]
+                    if a and b:
+                        s, m, at = best[a - 1, b - 1]
+                        here.append((s + 2, m + 1, at) if w[a - 1] == t[b - 1] else (s - 1, m, at))
+                    if a:
+                        s, m, at = best[a - 1, b]
+                        here.append((s - 1, m, at))
+                    if b:
+                        s, m, at = best[a, b - 1]
+                        here.append((s - 1, m, at))
+                    best[a, b] = max(here, key=lambda x: x[:2])
+                    top = max(top, best[a, b][:2])
+            if top[0] >= len(w):
+                out[d, i] = (top[0] / (2 * len(w)), top[1])
+    return out
+
+
+def test_leaks_against_all_pairs(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(60)]
+    items = {i: rng.choices(vocabulary, k=rng.choice([2, 3, 5, 9, 14])) for i in range(12)}
+    docs = {}
+    for d in range(60):
+        text = rng.choices(vocabulary, k=rng.randrange(0, 25))
+        part = list(rng.choice(list(items.values())))
+        for _ in range(rng.randrange(3)):
+            part[rng.randrange(len(part))] = rng.choice(vocabulary)
+        docs[d] = text[:7] + part + text[7:]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    rows = decontam.leaks(spark.createDataFrame([(d, " ".join(w), "") for d, w in docs.items()], DOCS), bench).collect()
+    want = slow_leaks(docs, items)
+    got = {(r.doc_id, r.item_id): r for r in rows}
+    assert set(got) <= set(want)
+    holds = lambda t, w: any(t[j : j + len(w)] == w for j in range(len(t)))
+    seeded = {(d, i) for d, i in want if any(holds(docs[d], items[i][k : k + 3]) for k in range(max(1, len(items[i]) - 2)))}
+    assert len(set(got) & seeded) >= 0.97 * len(seeded) and len(seeded) > 40  # a seed is one of the rarer half, or the rarest of its neighbours
+    for k, r in got.items():
+        assert abs(r.score - want[k][0]) < 1e-9 and r.n_matched == want[k][1], (k, r, want[k])
+        part = docs[k[0]][r.first_word : r.last_word + 1]
+        assert 2 * len(items[k[1]]) * r.score == slow_align(items[k[1]], part)
+
+
+def test_a_common_opening_costs_a_look_up():
+    rng = random.Random(5)
+    opening = "which of the following statements about this is the best"
+    texts = [(i, opening + " " + " ".join(rng.choices(["w%d" % k for k in range(9000)], k=25))) for i in range(20_000)]
+    block = decontam.Block(texts, 3)
+    block.keep_seeds(np.zeros(0, np.uint64), np.zeros(0, np.int64), 4)
+    doc = [opening + " and so on it goes"]
+    decontam.found_in(block, doc, 0.5)
+    began = time.perf_counter()
+    assert decontam.found_in(block, doc, 0.5) == {}
+    assert time.perf_counter() - began < 0.5
+    found = decontam.found_in(block, [texts[77][1]], 0.5)
+    assert found[0, 77][0] == 1.0
+
+
+def test_seeds_against_the_rule():
+    rng = random.Random(6)
+    items = [(i, " ".join(rng.choices("a b c d e f g".split(), k=rng.randrange(1, 14)))) for i in range(60)]
+    block = decontam.Block(items, 3)
+    counts = np.array([rng.randrange(6) for _ in block.hashes])
+    count = dict(zip(block.hashes.tolist(), counts.tolist(), strict=True))
+    by_item = {}
+    for g, i, k in zip(block.gram.tolist(), block.item.tolist(), block.place.tolist(), strict=True):
+        by_item.setdefault(i, []).append((k, count[g], g))
+    keep = set()
+    for x in by_item.values():
+        x.sort()
+        rank = sorted((c, g) for _, c, g in x)
+        keep |= {g for _, g in rank[: (len(rank) + 1) // 2]}
+        keep |= {min((c, g) for _, c, g in x[i : i + 4])[1] for i in range(max(1, len(x) - 3))}
+    block.keep_seeds(block.hashes, counts, 4)
+    assert set(block.gram.tolist()) == keep
+
+
+def test_long_texts_and_clashing_columns(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = spark.createDataFrame([(1, "w " * 500_000 + item + " w" * 500_000, "a"), (2, "x", "b")], DOCS)
+    bench = spark.createDataFrame([(9, item, "c")], "item_id long, text string, score string")
+    (r,) = decontam.leaks(docs, bench).collect()
+    assert (r.doc_id, r.item_id, r.score, r.first_word, r.n_matched) == (1, 9, 1.0, 500_000, 8)
+    assert [tuple(x)[0::2] for x in decontam.clean(docs, bench).collect()] == [(2, "b")]
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(7)
     v = np.round(rng.normal(size=(900, 6)), 1).astype(np.float32)
@@ -86,6 +180,17 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Beyond doubles, and beyond 64 bits: order and scores stay exact, or are given as the nearest that fits."""
+    rows = [(100 * i, [float(10**8 + 7 * i), 1.0, 2.0]) for i in range(14)] + [(1 + i, [3e15, float(i), 0.0]) for i in range(5)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, leaf=4).collect()
+    v = {i: [int(1024 * x) for x in e] for i, e in rows}
+    for q in range(0, 1400, 100):
+        score = {i: sum(a * b for a, b in zip(v[q], v[i], strict=True)) for i in v if i != q}
+        want = [min(score[i], (1 << 63) - 1) for i in sorted(score, key=lambda i: (-score[i], i))[:10]]
+        assert [r.score for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
 def test_tree_bounds_hold():
     rng = np.random.default_rng(1)
     rows = rng.normal(size=(500, 5))
@@ -109,9 +214,9 @@ def test_langid_held_out_accuracy(spark):
 def test_langid_edges(spark):
     kind = "doc_id long, text string, lang string, lang_pred string"
     rows = [(i, f"le chat {i} est noir" if i % 2 else f"der Hund {i} ist schwarz", "fr" if i % 2 else "de", "") for i in range(60)]
-    odd = [(100, None, "fr", ""), (101, "12 34 !!", "fr", ""), (102, "", None, ""), (None, "le chat", None, ""), (103, "é", None, ""), (104, "le chat est " * 20000, None, "")]
+    odd = [(100, None, "fr", ""), (101, "12 34 !!", "fr", ""), (102, "", None, ""), (None, "le chat", None, ""), (103, "é", None, ""), (105, "½ ² Ⅷ ٣", None, ""), (104, "le chat est " * 20000, None, "")]
     got = {r.doc_id: r for r in langid.identified(spark.createDataFrame(rows + odd, kind)).collect()}
-    assert [got[i].lang_pred for i in (100, 101, 102)] == ["und"] * 3
+    assert [got[i].lang_pred for i in (100, 101, 102, 105)] == ["und"] * 4
     assert got[None].lang_pred == got[104].lang_pred == "fr" and not got[None].held_out
     assert all(0 <= r.score <= 1 for r in got.values())
     none = langid.identified(spark.createDataFrame(odd, kind).withColumn("lang", F.lit(None).cast("string"))).collect()
