@@ -10,7 +10,8 @@ each source and bucket.
 
 Nulls and edges: a null text has size 0; a null source is a source of its own, ranked last; a null or non-positive
 weight counts as the default; a null doc_id hashes as the empty string; ties go by doc_id, size and a hash of the text, so
-repeated rows are counted one by one; an empty table gives an empty result. Other columns of the input are ignored.
+repeated rows are counted one by one; a long text costs one regular expression over it; an empty table gives an empty result. Other
+columns of the input, whatever their names, are ignored (`materialised` passes them on).
 """
 
 from __future__ import annotations
@@ -83,10 +84,18 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), most
 
 
 def materialised(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the plan of mix_sources takes it."""
-    once = plan.select("doc_id", "tie", "copies").distinct()
-    out = docs.withColumn("tie", F.xxhash64("text")).join(once, ["doc_id", "tie"]).filter("copies > 0")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("tie", "copies")
+    """The rows of docs, as they are, each as often as the plan of mix_sources takes it.
+
+    Rows that share id and text are told apart by a number, in either table, so each gets the copies of one row of the plan.
+    """
+    key = ["id_", "no_id_", "tie_"]
+    same = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_"), F.col("doc_id").isNull().alias("no_id_")]
+    of = W.partitionBy(*key)
+    row = docs.select(F.struct(*docs.columns).alias("row_"), *same, F.xxhash64("text").alias("tie_"))
+    row = row.withColumn("number_", F.row_number().over(of.orderBy(F.xxhash64("row_"))))
+    taken = plan.select(*same, F.col("tie").alias("tie_"), F.col("copies").cast("int").alias("copies_")).withColumn("number_", F.row_number().over(of.orderBy(F.desc("copies_"))))
+    out = row.join(taken.filter("copies_ > 0"), [*key, "number_"])
+    return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select("row_.*")
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import math
 import random
 
@@ -73,3 +75,23 @@ def test_materialised(spark):
     got = mixing.materialised(docs, plan).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in got} == {k: v for k, v in n.items() if v}
     assert math.isclose(sum(n.values()), sum(r["count"] for r in got))
+
+
+def test_materialised_rows(spark):
+    """Each row as often as it is taken, untouched: clashing columns, null ids, and equal rows with unlike copies."""
+    rows = [(1, "a b c", "x", 5, "t1"), (1, "a b c", "x", 6, "t2"), (1, "d e", "x", 7, "t3"), (None, "f g", "x", 8, "t4"), (None, "f g", "y", 9, "t5"), (3, None, "y", 0, "t6"), (4, "h " * 5, "z", 1, "t7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long, tie string")
+    plan = mixing.mix_sources(docs)
+    out = mixing.materialised(docs, plan)
+    assert out.columns == docs.columns
+    got = Counter(tuple(r) for r in out.collect())
+    assert set(got) <= set(rows)
+    taken = Counter()
+    for r in plan.collect():
+        taken[r.doc_id, r.tie] += r.copies
+    have = Counter()
+    for r, n in got.items():
+        have[r[0], r[1]] += n
+    text = {(r.doc_id, r.tie): r.text for r in docs.selectExpr("doc_id", "xxhash64(text) tie", "text").collect()}
+    assert have == Counter({(k[0], text[k]): n for k, n in taken.items() if n})
+    assert mixing.materialised(docs.limit(0), plan).count() == 0
