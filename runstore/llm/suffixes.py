@@ -13,8 +13,9 @@ pieces of 16 windows, by their places around the anchor, and the pieces are grou
 windows hold. Groups that are still as large are cut into single windows, whose groups need no comparing.
 
 Rows are told apart by a hash of id and text; rows that repeat both are documents of their own, and so repeat each other.
-Nulls and edges: a null text is empty; texts shorter than LENGTH lose nothing; bytes are judged on the input, never on
-what is left; an empty table gives an empty result; other columns are ignored.
+Nulls and edges: a null text is empty, a null id is reported as null; texts shorter than LENGTH lose nothing; a long text is read
+in overlapping parts of a megabyte, and put together as ranges; bytes are judged on the input, never on what is left; an
+empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import minimizers, mix64, powers, stored
+from ._common import minimizers, mix64, passing, powers, stored
 
 LENGTH, GRAM = 200, 100
 BACK = LENGTH - GRAM  # an anchor lies at most so far behind a window's start
@@ -249,14 +250,15 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def covered(docs: DataFrame, most: int = 4096) -> DataFrame:
     """rid, s, e: ranges of bytes that windows with another occurrence cover (ranges may overlap)."""
-    at = stored(anchors(docs))
-    held = at.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("low"), F.max("c").alias("high")).filter("times > 1")
-    held = stored(held.select("h", (F.col("low") == F.col("high")).alias("one")))  # a plain table: a hot h can then be split in the join
-    shared = stored(at.join(held, "h"))
+    with passing():
+        at = stored(anchors(docs))
+        held = at.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("low"), F.max("c").alias("high")).filter("times > 1")
+        held = stored(held.select("h", (F.col("low") == F.col("high")).alias("one")))  # a plain table: a hot h can then be split in the join
+        shared = stored(at.join(held, "h"), keep=True)
     end = (F.col("s") + F.col("n")).alias("e")
     mixed = shared.filter("not one")
     kinds = stored(mixed.groupBy("h", "c").agg(F.count("*").alias("times"), F.min("rid").alias("rid"), F.min_by("s", "rid").alias("s"), F.min("n").alias("n"), F.min("at").alias("at")))
-    twice = mixed.join(kinds.filter("times > 1").select("h", "c"), ["h", "c"])
+    twice = mixed.join(kinds.filter("times > 1").select("h", "c").hint("merge"), ["h", "c"])  # a merge join can split the copies of one context
     out = shared.filter("one").select("rid", "s", end).unionByName(twice.select("rid", "s", end))
     text = docs.select(key().alias("rid"), F.col("text").cast("binary").alias("text"))
     context = kinds.join(text, "rid").select("h", "rid", F.col("s").alias("start"), "at", F.substr("text", (F.col("s") + 1).cast("int"), F.col("n")).alias("context"))
@@ -272,7 +274,7 @@ def covered(docs: DataFrame, most: int = 4096) -> DataFrame:
         shared = stored(piece.join(stored(held), "h"))
         mixed = shared.filter("not one")
         kinds = stored(mixed.groupBy("h", "c").agg((ranges[0] | ranges[1]).alias("again"), F.min("rid").alias("rid"), F.min_by("start", "rid").alias("start"), F.min("at").alias("at"), F.min("context").alias("context")))
-        again = shared.filter("one").drop("one", "c").unionByName(mixed.join(kinds.filter("again").select("h", "c"), ["h", "c"]).drop("one", "c"))
+        again = shared.filter("one").drop("one", "c").unionByName(mixed.join(kinds.filter("again").select("h", "c").hint("merge"), ["h", "c"]).drop("one", "c"))
         out = out.unionByName(again.select("rid", F.col("start").alias("s"), (F.col("start") + F.length("context")).alias("e")))
         context = kinds.select("h", "rid", "start", "at", "context")
         large = stored(kinds.groupBy("h").agg(F.count("*").alias("times")).filter(F.col("times") > most).select("h"))
@@ -286,6 +288,8 @@ def _sorted(context: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, *, most: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranges = stored(covered(docs, most)).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    with passing():
+        found = stored(covered(docs, most), keep=True)
+    ranges = found.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     rows = docs.select(key().alias("rid"), "doc_id", F.col("text").cast("binary").alias("text")).join(ranges, "rid", "left")
     return rows.select("doc_id", "text", "ranges").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
