@@ -6,7 +6,8 @@ join (a binary search over the sections' starts) attributes them. Rule for token
 section in which its first byte lies; it also counts as a crossing of that document.
 
 Nulls and edges: a null or empty text has no tokens and no sections; text that looks like a special token is ordinary
-text; lone surrogates, which UTF-8 can't hold, count as `?`; equal rows agree; an empty table gives an empty result.
+text; lone surrogates, which UTF-8 can't hold, count as `?`; equal rows agree, ties can't arise; a long text is encoded whole; other
+columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
