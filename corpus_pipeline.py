@@ -2,6 +2,11 @@
 
 Each stage takes what its predecessor kept. All but the last return the columns of `documents`; the last returns the mixing
 plan: doc_id, source, size, source_size, target, copies, taken.
+
+Nulls and edges: a null or empty text has no language and goes; rows with a null id stay in all later stages; rows that share an id
+are told apart by their text, and equal ones are near-duplicates; ties in a group go to the least id, then the least hash of the text;
+a long text is worked on whole by every stage; `documents` may have further columns of any name, which all stages but the last pass
+on; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,17 +19,18 @@ from pyspark.sql import functions as F
 from runstore.llm import decontam, langid, mixing, pii, similar
 from runstore.llm._common import stored, table
 
-#: Just above what four languages score by chance: very short texts stay.
-LEAST_SCORE = 0.3
+#: A text stays if its language scores this many times what all languages score by chance: very short texts stay.
+OVER_CHANCE = 1.2
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without letters, or told with a score below LEAST_SCORE, go."""
-    return langid.accepted(docs, langid.learned(docs, langid.third(F.col("doc_id")) != 1), LEAST_SCORE)
+    """Documents whose language is told; those without letters, or told with a score near chance, go."""
+    net = langid.learned(docs, langid.third(F.col("doc_id")) != 1)
+    return langid.accepted(docs, net, OVER_CHANCE / len(net.languages) if net else 0.0)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: sets of five-word shingles with a Jaccard similarity of 0.8 or more, linked exactly."""
+    """One document of each group of near-duplicates: sets of five-word shingles with a Jaccard similarity of 0.8 or more, proposed by tries of fingerprints and confirmed on the whole sets."""
     return similar.one_of_each(docs, shingle=5, similarity=0.8)
 
 
@@ -46,7 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language ID", identify),
-    ("near-dedup", deduplicate),
+    ("SimHash near-dedup", deduplicate),
     ("benchmark decontamination", decontaminate),
     ("PII", redact),
     ("mixing sources", mix),
