@@ -2,15 +2,16 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from runstore.llm import decontam, langid, pii
 from runstore.llm._common import words
 from runstore.llm.mixing import quality_weights
 from tests.llm.test_mixing import filled
 from tests.llm.test_search import slow_align
-from tests.llm.test_simhash import slow_components
+from tests.llm.test_similar import slow_groups
 from tests.llm.test_spans import base
-from runstore.llm.simhash import fingerprint
 
 
 def slow_leak(text, items):
@@ -25,12 +26,12 @@ def test_stages_against_brute_force(spark, sf_dir):
     texts = {r.doc_id: r.text for r in docs.collect()}
     net = langid.learned(docs, langid.third(docs.doc_id) != 1)
     score = langid.judged(net, list(texts.values()))[1]
-    kept = [i for i, s in zip(texts, score, strict=True) if s >= corpus_pipeline.LEAST_SCORE]
+    kept = [i for i, s in zip(texts, score, strict=True) if s >= corpus_pipeline.OVER_CHANCE / len(net.languages)]
     first = corpus_pipeline.identify(spark, docs, sf_dir)
     assert first.columns == docs.columns and sorted(r.doc_id for r in first.collect()) == sorted(kept)
     assert len(kept) >= 0.99 * len(texts)
 
-    group = slow_components([fingerprint(texts[i], 5) for i in sorted(kept)])
+    group = slow_groups([texts[i] for i in sorted(kept)])
     kept = [i for k, i in enumerate(sorted(kept)) if group[k] == k]
     second = corpus_pipeline.deduplicate(spark, first, sf_dir)
     assert second.columns == docs.columns and sorted(r.doc_id for r in second.collect()) == kept
@@ -75,6 +76,23 @@ def test_empty_and_odd_rows(spark, sf_dir):
     assert quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet")).count() > 0
 
 
+def test_further_columns_and_long_texts(spark, sf_dir):
+    """Columns whose names the stages use themselves come out untouched; a text of two million characters passes through."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    long = docs.limit(1).withColumn("text", F.concat(F.repeat("text", F.ceil(2_000_000 / F.greatest(F.lit(1), F.length("text"))).cast("int")), F.lit(" a@b.com"))).withColumn("doc_id", F.lit(10**9))
+    docs = docs.unionByName(long)
+    extra = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in ("rid", "sig", "row", "spans", "base", "text_", "tie", "copies", "n", "words")])
+    table = extra
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        table = stage(spark, table, sf_dir)
+        assert table.columns == extra.columns, name
+    rows = table.collect()
+    assert rows and all(r[c] == f"own {c}" for r in rows for c in ("rid", "sig", "row", "spans", "base", "text_", "tie", "copies", "n", "words"))
+    (r,) = [r for r in rows if r.doc_id == 10**9]
+    assert r.text.endswith(" [EMAIL]") and r.n_chars == len(r.text)
+    assert corpus_pipeline.mix(spark, table, sf_dir).count() == len(rows)
+
+
 def test_clean_in_blocks(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     bad = {r.doc_id for r in decontam.leaks(docs, bench).collect()}
