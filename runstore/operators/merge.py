@@ -43,7 +43,7 @@ def get(df: DataFrame, key: str, unique: bool = False) -> DataFrame:
 
 def multi_get(df: DataFrame, keys: DataFrame, unique: bool = False) -> DataFrame:
     """keys (column key) with the live value of each, null where there is none. Only versions of these keys are merged."""
-    some = df.join(keys.select("key").distinct(), "key", "left_semi")
+    some = df.join(keys.select("key"), "key", "left_semi")
     found = drop_tombstones(some if unique else newest_per_key(some)).select("key", "value", "seq")
     return keys.join(found, "key", "left")
 

@@ -571,3 +571,48 @@ def store_simple_live(spark, sf_dir):
     store = _store(spark, sf_dir, Options(policy=Simple(200, 2, 3), target_bytes=16 << 10))
     store.maintain()
     return store.live()
+
+
+@query(f"SELECT key, value FROM live WHERE key >= '{LOW}' AND key < '{HIGH}'")
+def store_cached_range(spark, sf_dir):
+    """The same range twice; the second read finds its files in the executors' memory."""
+    from ..sources.store import Options
+
+    store = _store(spark, sf_dir, Options(cache_bytes=64 << 20))
+    store.live(lower=Bound.included(LOW), upper=Bound.excluded(HIGH)).count()
+    return store.live(lower=Bound.included(LOW), upper=Bound.excluded(HIGH))
+
+
+@query("SELECT keys.key, live.value FROM keys LEFT JOIN live ON keys.key = live.key", with_=f"{KV}, {KEYS}")
+def store_multi_get(spark, sf_dir):
+    """Keys asked of a table of many files: those whose range holds none are not opened."""
+    from ..sources.store import Options
+
+    return _store(spark, sf_dir, Options(target_bytes=8 << 10)).multi_get(_keys(spark, sf_dir))
+
+
+@query("SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM kv WHERE run <= 3) WHERE rn = 1 AND value <> ''")
+def store_snapshot(spark, sf_dir):
+    """An old version, read after a full compaction."""
+    from ..sources.store import Options
+
+    store = _store(spark, sf_dir, Options())
+    store.force_full_compaction()
+    return store.live(snapshot=store.at(3))
+
+
+@query("SELECT key, value FROM live")
+def ingest_replayed(spark, sf_dir):
+    """Each batch comes twice, from a writer that had opened the table before the first: it is written once."""
+    from ..sources.store import Options, Store
+
+    path = _folder(spark)
+    writers = [Store(spark, path, Options()) for _ in range(2)]
+    versions = kv(spark, sf_dir)
+    for r in range(8):
+        rows = versions.filter(F.col("run") == r).select("key", "value", "seq")
+        for w in writers:
+            w.ingest(rows, r, "events")
+    if len(writers[1].refresh().state.l0) > 8:
+        raise RuntimeError("a batch was written twice")
+    return writers[0].live(snapshot=writers[1].refresh())

@@ -17,11 +17,14 @@ from ..operators.bounds import Bound, in_range, may_hold
 from ..operators.files import key_to_files
 from ..operators.merge import compacted, drop_tombstones, live, multi_get, newest_per_key
 from ..plans.policies import File, Leveled, NoCompaction, Simple, StaleTask, State, Task, Tiered, full_applied, full_task
+from .cache import FileCache
 from .catalog import Catalog, Conflict, Snapshot
 from .files import Files
 
 #: Catalogues of more files are narrowed by the hull of the keys only.
 MOST_RANGES = 100_000
+#: Up to so many files a batched get opens all, and a read goes through the cache.
+FEW_FILES = 16
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,7 @@ class Options:
     wal: bool = False
     compression: str = "snappy"
     bloom: bool = True
+    cache_bytes: int = 0  # of data files kept in the executors' memory
 
     @staticmethod
     def small() -> Options:
@@ -62,6 +66,7 @@ class Store:
         self.sizes = [0]
         self.seq = self.snapshot.next_seq
         self.closed = False
+        self.cache = FileCache(options.cache_bytes) if options.cache_bytes else None
         self._log, self._segments = None, 0
         if options.wal:
             self._recover()
@@ -209,7 +214,10 @@ class Store:
         return reduce(DataFrame.unionByName, parts).filter(in_range(lower, upper))
 
     def _opened(self, files: list[File]) -> list[DataFrame]:
-        """The rows of the files, one scan for each shift (as a rule all have none)."""
+        """The rows of the files, one scan for each shift (as a rule all have none); up to FEW_FILES of them through the cache, if there is one."""
+        if self.cache is not None and len(files) <= FEW_FILES:
+            scans_ = [(f.shift, self.cache.read(f.path, f.bytes, self.spark.read.schema(VERSION).parquet)) for f in files]
+            return [x.withColumn("seq", F.col("seq") + up) if up else x for up, x in scans_]
         by_shift: dict[int, list[str]] = {}
         for f in files:
             by_shift.setdefault(f.shift, []).append(f.path)
@@ -236,16 +244,18 @@ class Store:
         return rows[0].value if rows else None
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        """keys (column key) with their values, null where there is none. Only files whose range holds one of the keys are opened."""
-        files = {f.id: f for f in self.snapshot.state.files.values()}
-        hull = keys.agg(F.min("key").alias("a"), F.max("key").alias("z")).first()
-        if hull.a is None:
-            return keys.select("key", F.lit(None).cast("string").alias("value"))
-        some = [f for f in files.values() if may_hold(Bound.included(hull.a), Bound.included(hull.z), f.first_key, f.last_key)]
-        if len(some) > 1 and len(some) < MOST_RANGES:
-            ranges = self.spark.createDataFrame([(f.id, f.first_key, f.last_key) for f in some], "id long, first_key string, last_key string")
-            hit = {r.id for r in key_to_files(keys.select("key"), ranges).select("id").distinct().collect()}  # at most one row a file
-            some = [f for f in some if f.id in hit]
+        """keys (column key) with their values, null where there is none.
+
+        Of a table of more than FEW_FILES files only those are opened whose range holds one of the keys; to ask costs two small jobs.
+        """
+        some = list(self.snapshot.state.files.values())
+        if len(some) > FEW_FILES:
+            hull = keys.agg(F.min("key").alias("a"), F.max("key").alias("z")).first()
+            some = [f for f in some if hull.a is not None and may_hold(Bound.included(hull.a), Bound.included(hull.z), f.first_key, f.last_key)]
+            if 1 < len(some) < MOST_RANGES:
+                ranges = self.spark.createDataFrame([(f.id, f.first_key, f.last_key) for f in some], "id long, first_key string, last_key string")
+                hit = {r.id for r in key_to_files(keys.select("key"), ranges).select("id").distinct().collect()}  # at most one row a file
+                some = [f for f in some if f.id in hit]
         parts = self._opened(some)
         rows = [(k, s, DELETE if v == "" else PUT, v) for b in self.buffers for k, (s, v) in b.items()]
         if rows or not parts:

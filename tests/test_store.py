@@ -7,6 +7,7 @@ from py4j.protocol import Py4JJavaError
 
 from runstore.operators.bounds import Bound
 from runstore.plans.policies import Leveled, Simple, StaleTask, Tiered
+from runstore.sources.cache import FileCache
 from runstore.sources.catalog import CHECKPOINT, Catalog, Conflict, Corrupt
 from runstore.sources.cli import answers
 from runstore.sources.store import Options, Store
@@ -307,14 +308,41 @@ def test_runs_trigger_not_files(spark, tmp_path):
 
 def test_scan_and_get_plans(spark, tmp_path):
     s = Store(spark, str(tmp_path), Options(target_bytes=8_000))
-    for n in range(3):
+    for n in range(4):
         s.ingest(spark.range(n * 100, n * 100 + 3000).selectExpr("format_string('k%05d', id) key", f"'{n}' || sha2(cast(id as string), 256) value", "id seq"))
     plan = s.scan()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
     got = rows(s.scan())
-    assert got == sorted(got) and len(got) == 3200
+    assert got == sorted(got) and len(got) == 3300 and len(s.snapshot.state.files) > 16
     keys = spark.createDataFrame([("k00001",), ("k00001x",), ("zzz",)], "key string")
     out = s.multi_get(keys)
     assert {k: v and v[0] for k, v in rows(out)} == {"k00001": "0", "k00001x": None, "zzz": None}
     assert len(out.inputFiles()) < len(s.versions().inputFiles()) / 2
     assert rows(s.multi_get(keys.limit(0))) == []
+
+
+def test_cache_lets_the_least_recently_used_go(spark):
+    cache, loads = FileCache(100), []
+
+    def load(path):
+        loads.append(path)
+        return spark.range(3).withColumnRenamed("id", path)
+
+    for path, size in (("a", 40), ("b", 40), ("a", 40), ("c", 40)):
+        assert cache.read(path, size, load).columns == [path]
+    assert loads == ["a", "b", "c"] and "b" not in cache and "a" in cache and (len(cache), cache.bytes, cache.hits, cache.misses) == (2, 80, 1, 3)
+    assert not cache.read("large", 101, load).is_cached and len(cache) == 2
+    cache.insert("a", load("a2"), 60)
+    assert cache.get("a").columns == ["a2"] and cache.bytes == 100 and cache.get("b") is None
+    cache.insert("d", load("d"), 41)
+    assert "c" not in cache and "a" not in cache and cache.get("d").is_cached
+
+
+def test_reads_through_the_cache(spark, tmp_path):
+    s = Store(spark, str(tmp_path), Options(cache_bytes=1 << 20))
+    for n in range(3):
+        s.ingest(batch(spark, 0, str(n)))
+    assert s.get("a") == "2" and s.cache.misses == 3 and rows(s.scan()) == [("a", "2")] and s.cache.hits == 3
+    assert "InMemoryTableScan" in s.live()._jdf.queryExecution().executedPlan().toString()
+    s.force_full_compaction()
+    assert rows(s.scan()) == [("a", "2")] and s.get("a") == "2"
