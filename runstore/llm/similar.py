@@ -161,6 +161,7 @@ def _groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bands
 
     sized = members.filter("k > 2")  # of two, one was compared with the other
     rooted = slim.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    rooted = stored(rooted)
     dealt = tiles(sized.join(rooted.select("sig", "root", "n", *words_), "sig"), ["v"], "sig", tile, F.col("k"))
     columns = ["v", "lo", "hi", "mine", "sig", "root", "n", *words_]
 
@@ -193,8 +194,14 @@ def _groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bands
 
     keys = ["v", "lo", "hi"]
     more = dealt.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk, "a long, b long").distinct()
-    root = components(near.unionByName(confirmed(more, docs, slim, shingle, ratio)))
-    named = stored(slim.select("sig", "doc_id", "rid").join(root.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
+    late = confirmed(more, docs, slim, shingle, ratio)
+    named = rooted.select("sig", "doc_id", "rid", "root")
+    if not late.isEmpty():  # links between components of the first step, which are nodes now
+        of = named.select("sig", "root")
+        between = late.join(of.select(F.col("sig").alias("a"), F.col("root").alias("x")), "a").join(of.select(F.col("sig").alias("b"), F.col("root").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        again = stored(components(between))
+        named = named.join(again.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("sig", "doc_id", "rid", F.coalesce("top", "root").alias("root"))
+    named = stored(named)
     least = stored(named.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("least")))
     of = stored(named.join(least, "root").select("sig", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("first")))
     return told.select("rid", "doc_id", "sig").join(of, "sig").select("rid", "doc_id", "component_id", "first")
