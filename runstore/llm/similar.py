@@ -7,9 +7,12 @@ altogether with a probability of (1 - 0.8 ** 4) ** 16 = 0.0002. Within its bucke
 together, pairs of trie nodes go beyond the error budget (the expected bits and 3.3 deviations: one pair of 2000 at exactly 0.8
 exceeds it), and what is left is confirmed on the whole sets, so a link is never wrong.
 
-First each node is compared with the least one of each of its buckets, which joins a large group of copies at the cost of a few
-pairs for each member. Then the tries are walked, but for pairs of trie nodes that lie in one component already. Large
-buckets are dealt in tiles. Equal sets are one node from the start.
+First each node is compared with one node of each of its buckets, that which shares most buckets with others (of a text and its
+edited copies as a rule the text), which joins a large group of copies at the cost of a few pairs for each member. Then, in the
+buckets that still hold several components, the tries are walked, but for pairs of trie nodes that lie in one component; pairs are
+confirmed inside the task that proposes them, on the sets of its bucket, and no more leave it than join its components, so
+a group of texts that are nearly as similar as asked costs time, not rows. Large buckets are dealt in tiles. Equal sets are one node
+from the start.
 
 Nulls and edges: texts without words are equal; a text of fewer words than a shingle is one shingle; a long text is hashed whole,
 in numpy arrays of some 40 bytes a word; equal sets are told by a 64-bit hash of them; a row whose id is null takes no part, and
@@ -93,10 +96,8 @@ def _signed(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, ratio: Fraction) -> DataFrame:
-    """a, b: the pairs whose whole sets are as similar as asked. nodes: sig, rid (of the row that stands for it)."""
-    pairs = stored(pairs)
-    sigs = stored(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
+def whole_sets(sigs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """sig, words: the whole sets of some nodes. nodes: sig, rid (of the row that stands for it)."""
     shared = bit_map(nodes.join(sigs, "sig", "left_semi").select("rid"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,21 +107,55 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
                 yield pa.RecordBatch.from_arrays([_signed([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in some]), pa.array([h.tobytes() for h in some], pa.binary())], names=["sig", "words"])
 
     whole = docs.select("rid", "text").mapInArrow(fetch, "sig long, words binary").join(sigs, "sig", "left_semi").dropDuplicates(["sig"])
-    whole = stored(whole)  # a plain table: a hub's pairs can then be split in the joins
+    return stored(whole)  # a plain table: a hub's pairs can then be split in the joins
+
+
+def alike(one: np.ndarray, others: list[np.ndarray], ratio: Fraction) -> np.ndarray:
+    """Which sets are as similar to one as asked, counted exactly."""
+    size = np.array([len(x) for x in others])
+    if not len(one):
+        return size == 0
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    upto = np.concatenate([[0], np.cumsum(one[at] == flat)])
+    end = np.cumsum(size)
+    same = upto[end] - upto[end - size]
+    return same * (ratio.numerator + ratio.denominator) >= ratio.numerator * (len(one) + size)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, ratio: Fraction) -> DataFrame:
+    """a, b: the pairs whose whole sets are as similar as asked."""
+    pairs = stored(pairs)
+    whole = whole_sets(stored(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()), docs, nodes, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(same * (ratio.numerator + ratio.denominator) >= ratio.numerator * (len(u) + len(v)))
+            keep = [bool(alike(np.frombuffer(x, np.uint64), [np.frombuffer(y, np.uint64)], ratio)[0]) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     one, two = (whole.select(F.col("sig").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
     return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long"))
 
 
+def forest(a: np.ndarray, b: np.ndarray, label: np.ndarray, sets: list[bytes], ratio: Fraction) -> list[tuple[int, int]]:
+    """Of the pairs that are as similar as asked enough to join their components: at most one for each row. Pairs come by a."""
+    label, out = label.copy(), []
+    cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else []
+    for lo, hi in zip(cut, cut[1:], strict=False):
+        i, js = int(a[lo]), b[lo:hi]
+        js = js[label[js] != label[i]]
+        for k in range(0, len(js), 256):
+            some = js[k : k + 256]
+            some = some[label[some] != label[i]]
+            if not len(some):
+                continue
+            for j in some[alike(np.frombuffer(sets[i], np.uint64), [np.frombuffer(sets[j], np.uint64) for j in some.tolist()], ratio)].tolist():
+                if label[j] != label[i]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+    return out
+
+
 def groups(docs: DataFrame, **options) -> DataFrame:
     """rid, doc_id, component_id (the least doc_id reachable over links), first (the rid that stands for its group), for each row whose id is not null."""
     with passing():
@@ -145,8 +180,10 @@ def _groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bands
     nodes = stored(told.groupBy("sig").agg(F.min(F.struct("doc_id", "rid")).alias("least"), *(F.first(c).alias(c) for c in ("n", *words_, "bands"))))  # equal sets have equal columns
     slim = nodes.select("sig", F.col("least.doc_id").alias("doc_id"), F.col("least.rid").alias("rid"), "n", *words_)
     band = nodes.select("sig", F.explode("bands").alias("v"))
-    held = stored(band.groupBy("v").agg(F.min("sig").alias("hub"), F.max("sig").alias("top"), F.count("*").alias("k")).filter("hub <> top").drop("top"))
+    held = stored(band.groupBy("v").agg(F.min("sig").alias("low"), F.max("sig").alias("top"), F.count("*").alias("k")).filter("low <> top").select("v", "k"))
     members = stored(band.join(held, "v"))
+    crowd = stored(members.groupBy("sig").agg(F.sum("k").alias("crowd")))
+    hub = stored(members.select("sig", "v").join(crowd, "sig").groupBy("v").agg(F.max(F.struct("crowd", "sig"))["sig"].alias("hub")))
 
     def in_reach(pairs: DataFrame) -> DataFrame:
         """Pairs whose fingerprints lie within the budget, and whose sizes allow the similarity."""
@@ -155,18 +192,20 @@ def _groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bands
         fits = F.least("n_a", "n_b") * ratio.denominator >= F.greatest("n_a", "n_b") * ratio.numerator
         return pairs.join(x, "a").join(y, "b").filter((apart <= most) & fits).select("a", "b")
 
-    first = members.filter("sig <> hub").select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct()
+    first = members.join(hub, "v").filter("sig <> hub").select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct()
     near = confirmed(in_reach(first), docs, slim, shingle, ratio)
     label = stored(components(near))
 
-    sized = members.filter("k > 2")  # of two, one was compared with the other
-    rooted = slim.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    rooted = stored(rooted)
-    dealt = tiles(sized.join(rooted.select("sig", "root", "n", *words_), "sig"), ["v"], "sig", tile, F.col("k"))
-    columns = ["v", "lo", "hi", "mine", "sig", "root", "n", *words_]
+    rooted = stored(slim.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
+    sized = members.filter("k > 2").join(rooted.select("sig", "root", "n", *words_), "sig")  # of two, one was compared with the other
+    several = stored(sized.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("top")).filter("low <> top").select("v"))
+    sized = stored(sized.join(several, "v"))
+    whole = whole_sets(stored(sized.select("sig").distinct()), docs, slim, shingle)
+    dealt = tiles(sized, ["v"], "sig", tile, F.col("k")).join(whole, "sig")
+    columns = ["v", "lo", "hi", "mine", "sig", "root", "n", *words_, "words"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows_: np.ndarray) -> pa.RecordBatch:
+        def found(rows_: np.ndarray, sets: list[bytes]) -> pa.RecordBatch:
             group = np.cumsum(np.any(np.diff(rows_[:3], axis=1, prepend=rows_[:3, :1]) != 0, axis=0))
             fp = rows_[7:].view(np.uint64)
             order = np.lexsort((*fp[::-1], group))
@@ -175,26 +214,31 @@ def _groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bands
             a, b = trie_pairs(fp, group, x[5], most)
             ok = ~(across[a] & (x[3][a] == x[3][b]))  # a tile of two parts compares them only with each other
             ok &= np.minimum(x[6][a], x[6][b]) * ratio.denominator >= np.maximum(x[6][a], x[6][b]) * ratio.numerator
-            pair = np.unique(np.stack([np.maximum(x[4][a[ok]], x[4][b[ok]]), np.minimum(x[4][a[ok]], x[4][b[ok]])]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
-
-        rest: list[np.ndarray] = []
+            a, b = a[ok], b[ok]
+            by = np.lexsort((b, a))
+            links = forest(a[by], b[by], x[5], [sets[i] for i in order.tolist()], ratio)
+            one, two = (np.array([x[4][p[i]] for p in links], np.int64) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], names=["a", "b"])
+
+        held: list[np.ndarray] = []
+        sets: list[bytes] = []
         for batch in batches:
-            rest.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(batch.num_columns)]))
-            if sum(x.shape[1] for x in rest) < 65536:
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(batch.num_columns - 1)]))
+            sets += batch.column(batch.num_columns - 1).to_pylist()
+            if len(sets) < 8192:
                 continue
-            now = np.concatenate(rest, axis=1)
+            now = np.concatenate(held, axis=1)
             same = np.all(now[:3] == now[:3, -1:], axis=0)
             cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
             if cut:
-                yield found(now[:, :cut])
-            rest = [now[:, cut:]]
-        if rest and (now := np.concatenate(rest, axis=1)).shape[1]:
-            yield found(now)
+                yield found(now[:, :cut], sets[:cut])
+            held, sets = [now[:, cut:]], sets[cut:]
+        if sets:
+            yield found(np.concatenate(held, axis=1), sets)
 
     keys = ["v", "lo", "hi"]
     more = dealt.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk, "a long, b long").distinct()
-    late = confirmed(more, docs, slim, shingle, ratio)
+    late = stored(more)
     named = rooted.select("sig", "doc_id", "rid", "root")
     if not late.isEmpty():  # links between components of the first step, which are nodes now
         of = named.select("sig", "root")

@@ -79,6 +79,22 @@ def test_recall_near_the_limit(spark):
     assert sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
 
 
+def test_many_texts_just_below_the_limit(spark):
+    """Edited copies of a text that is not there: no pair is a link, a few are, and no task emits its pairs."""
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    base = rng.choices(vocabulary, k=150)
+    t = []
+    for _ in range(150):
+        own = list(base)
+        for i in rng.sample(range(150), rng.randrange(2, 5)):
+            own[i] = rng.choice(vocabulary)
+        t.append(" ".join(own))
+    want = slow_groups(t)
+    got = {r.doc_id: r.component_id for r in similar.groups(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), tile=40).collect()}
+    assert 1 < len(set(want)) < len(t) and got == dict(enumerate(want))
+
+
 def test_trie_pairs_against_all_pairs():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, (2, 20), np.uint64)
