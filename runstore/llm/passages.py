@@ -9,11 +9,15 @@ lie between. Along each chain the words are aligned: segments by place, the gaps
 subsequence, the ends outwards past short differences. A passage counts from `least_words` words and a `similarity` of 0.8.
 The chosen document's own repeats of a seed are matched with its first place, so that its second copies count, too.
 
+Where an alignment as a whole falls short of that, its parts that meet both bounds count.
+
 Seeds alone can miss a pair: if other documents hold each half of a passage, either half may be joined to one of them, and
-no chain is long enough. So a second round takes every stretch of seeds that others hold and that no passage of the first
-round covers, whole, and joins it by longer keys, to the document with the greatest key: all its windows of `least_words` words,
-windows of half as many (thinned), and pairs of seeds some way apart. All documents that hold a window of `least_words` words share
-it with the chosen one, so any two documents with such a run are linked, whoever holds parts of it.
+no chain is long enough. So a second round takes every stretch of seeds that others hold and joins it by longer keys, to the
+document with the greatest key: all its windows of `least_words` words, windows of half as many (thinned), and pairs of seeds some
+way apart. Left out are only stretches that equal, word for word, words of the document that the first round joined them to: those are
+represented there. So all documents that hold a window of `least_words` words share it with the chosen one, or equal one that does, and
+any two documents with such a run are linked, whoever holds parts of it or is linked otherwise. No link is dropped: of a pair, only
+further passages go that cover no new word of either document.
 
 Seed tables hold no text; words are fetched only for documents of a chain or an open stretch (a bit map picks them).
 
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ._common import bit_map, chunks, grams, grouped, in_bit_map, minimizers, mix64, passing, sliding, stored, words
 
-PIECE = "rid long, arid long, segments array<int>"
+PIECE = "rid long, arid long, chains array<array<int>>"
 ALIGNED = "rid long, first_word int, last_word int, arid long, other_first int, other_last int, similarity double"
 
 
@@ -177,56 +181,114 @@ def uncovered(runs: list[int], done: list[tuple[int, int]], least: int, around:
     return merged
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence."""
-    row = np.zeros(len(b) + 1, np.int32)
+def common(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Places, in either, of a longest common subsequence."""
+    rows = [np.zeros(len(b) + 1, np.int32)]
     for x in a:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
-    return int(row[-1])
+        row = rows[-1].copy()
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], rows[-1][:-1] + (b == x)))
+        rows.append(row)
+    i, j, at, bt = len(a), len(b), [], []
+    while i and j and rows[i][j]:
+        if rows[i - 1][j] == rows[i][j]:
+            i -= 1
+        elif rows[i][j - 1] == rows[i][j]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            at.append(i)
+            bt.append(j)
+    return at[::-1], bt[::-1]
 
 
 _SKIPS = sorted(((x, y) for x in range(5) for y in range(5) if x or y), key=lambda s: (max(s), sum(s), s))
 
 
-def outwards(a: list[int], b: list[int], again: int = 4) -> tuple[int, int, int]:
-    """How far an end reaches in either document, and the agreeing words there: past up to 4 differing words, if `again` agree after them."""
-    i = j = hits = 0
-    top, best = 0, (0, 0, 0)
+def outwards(a: list[int], b: list[int], again: int = 4) -> tuple[list[int], list[int]]:
+    """The agreeing words from the start of either document on: past up to 4 differing words, if `again` agree after them."""
+    i = j = 0
+    top, best = 0, 0
     score = 0
+    at: list[int] = []
+    bt: list[int] = []
     while True:
         while i < len(a) and j < len(b) and a[i] == b[j]:
-            i, j, hits, score = i + 1, j + 1, hits + 1, score + 1
+            at.append(i)
+            bt.append(j)
+            i, j, score = i + 1, j + 1, score + 1
         if score > top:
-            top, best = score, (i, j, hits)
+            top, best = score, len(at)
         for x, y in _SKIPS:
             if (run := a[i + x : i + x + again]) == b[j + y : j + y + again] and len(run) == again:
                 i, j, score = i + x, j + y, score - max(x, y)
                 break
         else:
-            return best
+            return at[:best], bt[:best]
 
 
-def aligned(segments: list[int], a: np.ndarray, a0: int, b: np.ndarray, b0: int) -> tuple[int, int, int, int, float]:
-    """Range in either document and similarity of a chain; a and b are the words from a0 and b0 on."""
+def matched(segments: list[int], a: np.ndarray, b: np.ndarray, a0: int, b0: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the agreeing words of a chain in either document; a and b are the words from a0 and b0 on."""
     part = [(segments[i] - a0, segments[i + 1] - a0, segments[i + 2] - b0) for i in range(0, len(segments), 3)]
-    hits, at, bt = 0, None, None
-    start = (part[0][0], part[0][2])
+    at, bt = part[0][0], part[0][2]
+    x, y = outwards(a[:at][::-1].tolist(), b[:bt][::-1].tolist())
+    one, two = [at - 1 - np.array(x[::-1], np.int64)], [bt - 1 - np.array(y[::-1], np.int64)]
     for s, e, o in part:
-        if at is not None:
-            over = max(at - s, bt - o, 0)
-            s, o = s + over, o + over
-            if e <= s:
-                continue
-            if s > at and o > bt:
-                hits += common(a[at:s], b[bt:o])
-        n = min(e - s, len(b) - o)
-        hits += int((a[s : s + n] == b[o : o + n]).sum())
+        over = max(at - s, bt - o, 0)
+        s, o = s + over, o + over
+        if e <= s:
+            continue
+        if s > at and o > bt:
+            x, y = common(a[at:s], b[bt:o])
+            one.append(at + np.array(x, np.int64))
+            two.append(bt + np.array(y, np.int64))
+        n = min(e - s, len(a) - s, len(b) - o)
+        same = np.flatnonzero(a[s : s + n] == b[o : o + n])
+        one.append(s + same)
+        two.append(o + same)
         at, bt = e, o + e - s
-    i, j, more = outwards(a[: start[0]][::-1].tolist(), b[: start[1]][::-1].tolist())
-    x, y, further = outwards(a[at:].tolist(), b[bt:].tolist())
-    hits += more + further
-    s, e, o, p = start[0] - i, at + x, start[1] - j, bt + y
-    return a0 + s, a0 + e, b0 + o, b0 + p, hits / max(e - s, p - o)
+    x, y = outwards(a[at:].tolist(), b[bt:].tolist())
+    one.append(at + np.array(x, np.int64))
+    two.append(bt + np.array(y, np.int64))
+    return np.concatenate(one) + a0, np.concatenate(two) + b0
+
+
+def alike(one: np.ndarray, two: np.ndarray, least: int, similarity: float, block: int = 2048) -> list[tuple[int, int, int, int, float]]:
+    """Ranges in either document and similarity: as few as cover every agreeing word that some range of `least` words or more and this similarity holds.
+
+    A range begins and ends with agreeing words. Where the whole alignment falls short, its parts are tried, in blocks of agreeing words that overlap by half.
+    """
+
+    def ranged(p: int, q: int) -> tuple[int, int, int, int, float]:
+        x, y = int(one[q] - one[p]) + 1, int(two[q] - two[p]) + 1
+        return int(one[p]), int(one[p]) + x, int(two[p]), int(two[p]) + y, (q - p + 1) / max(x, y)
+
+    n = len(one)
+    if n < similarity * least or min(one[-1] - one[0], two[-1] - two[0]) + 1 < least:
+        return []
+    if (whole := ranged(0, n - 1))[4] >= similarity:
+        return [whole]
+    reach = np.full(n, -1)  # the last agreeing word of the longest range from each on
+    for begin in range(0, max(1, n - block // 2), block // 2):
+        end = min(n, begin + block)
+        for p in range(begin, end):
+            x, y = one[p:end] - one[p] + 1, two[p:end] - two[p] + 1
+            q = np.flatnonzero((np.arange(1, end - p + 1) / np.maximum(x, y) >= similarity) & (np.minimum(x, y) >= least))
+            if len(q):
+                reach[p] = max(reach[p], p + int(q[-1]))
+    out = []
+    at = p = 0
+    while p < n:  # of the ranges that hold the first word not covered yet, the one that reaches furthest
+        best = -1
+        while p < n and (p <= at or best < 0):
+            if reach[p] >= at and (best < 0 or reach[p] > reach[best]):
+                best = p
+                at = max(at, p)
+            p += 1
+        if best >= 0:
+            out.append(ranged(best, int(reach[best])))
+            at = int(reach[best]) + 1
+            p = best + 1
+    return out
 
 
 def thinned(g: np.ndarray, window: int) -> np.ndarray:
@@ -270,85 +332,84 @@ def fetched(docs: DataFrame, rids: DataFrame) -> DataFrame:
     return docs.select(key().alias("rid"), "text").mapInArrow(run, "rid long, words binary")
 
 
+def add(held: list[tuple[int, int]], s: int, e: int) -> None:
+    """Join s..e to the ranges held, which are apart from each other and in order."""
+    i = bisect.bisect_left(held, (s, s))
+    i -= i > 0 and held[i - 1][1] >= s
+    j = i
+    while j < len(held) and held[j][0] <= e:
+        s, e = min(s, held[j][0]), max(e, held[j][1])
+        j += 1
+    held[i:j] = [(s, e)]
+
+
+def left(held: list[tuple[int, int]], s: int, e: int) -> int:
+    """How many words of s..e the ranges held leave open."""
+    i = bisect.bisect_left(held, (s, s))
+    i -= i > 0 and held[i - 1][1] > s
+    n = e - s
+    while i < len(held) and held[i][0] < e:
+        n -= min(e, held[i][1]) - max(s, held[i][0])
+        i += 1
+    return n
+
+
 def chosen(ranges: list[tuple[int, int]], done: list[tuple[int, int]], least: int) -> list[int]:
     """Which ranges, the longest first, cover `least` words or more that neither `done` nor those chosen before cover."""
-    held: list[tuple[int, int]] = []  # apart from each other, in order
-
-    def add(s: int, e: int) -> None:
-        i = bisect.bisect_left(held, (s, s))
-        i -= i > 0 and held[i - 1][1] >= s
-        j = i
-        while j < len(held) and held[j][0] <= e:
-            s, e = min(s, held[j][0]), max(e, held[j][1])
-            j += 1
-        held[i:j] = [(s, e)]
-
-    def open_(s: int, e: int) -> int:
-        i = bisect.bisect_left(held, (s, s))
-        i -= i > 0 and held[i - 1][1] > s
-        n = e - s
-        while i < len(held) and held[i][0] < e:
-            n -= min(e, held[i][1]) - max(s, held[i][0])
-            i += 1
-        return n
-
+    held: list[tuple[int, int]] = []
     for s, e in done:
-        add(s, e)
+        add(held, s, e)
     out = []
     for i in sorted(range(len(ranges)), key=lambda i: (ranges[i][0] - ranges[i][1], ranges[i], i)):
-        if open_(*ranges[i]) >= least:
+        if left(held, *ranges[i]) >= least:
             out.append(i)
-            add(*ranges[i])
+            add(held, *ranges[i])
     return out
 
 
-def needed(found: DataFrame, done: DataFrame, least: int) -> DataFrame:
-    """Of the second round's passages those that cover something new in either document: what the others say is said already."""
-    ranges = found.select("rid", F.col("first_word").alias("s"), F.col("last_word").alias("e")).union(found.select("arid", "other_first", "other_last")).distinct()
-    ranges = ranges.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("ranges")).join(done, "rid", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for rid, some, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = [(r["s"], r["e"]) for r in some]
-                out += [(rid, *x[i]) for i in chosen(x, [(r["s"], r["e"]) for r in d or ()], least)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["r", "s", "e"])
-
-    kept = stored(ranges.mapInArrow(run, "r long, s int, e int"))
-    link = ["rid", "first_word", "last_word", "arid", "other_first", "other_last", "similarity"]
-
-    def one_each(side: list[str]) -> DataFrame:
-        """For each chosen range of a side the passage with the least other side."""
-        rest = [c for c in link if c not in side]
-        some = found.join(kept, [F.col(c) == F.col(x) for c, x in zip(side, "rse", strict=True)], "left_semi")
-        return some.groupBy(*side).agg(F.min(F.struct(*rest)).alias("x")).select(*side, "x.*").select(*link)
-
-    return one_each(link[:3]).union(one_each(link[3:6])).distinct()
+def verified(docs: DataFrame, pieces: DataFrame, least_words: int, similarity: float, margin: int, said: DataFrame | None = None) -> DataFrame:
+    """ALIGNED: the passages that the chains (PIECE, a row for each pair) become once their words are aligned.
 
-
-def verified(docs: DataFrame, pieces: DataFrame, least_words: int, similarity: float, margin: int) -> DataFrame:
-    """ALIGNED: the passages that the chains (PIECE) become once their words are aligned."""
+    Of a pair, what covers no word of either document that `said` (ALIGNED) or a longer chain of the pair does not cover is left out.
+    """
     word = fetched(docs, pieces.select(F.explode(F.array("rid", "arid")).alias("rid")).distinct())
-    first, other = F.col("segments")[0], F.col("segments")[2]
-    size = F.size("segments")
-    last, other_last = F.col("segments")[size - 2], F.col("segments")[size - 1] + F.col("segments")[size - 2] - F.col("segments")[size - 3]
-
-    def cut(begin: Column, end: Column, name: str) -> list[Column]:
-        low = F.greatest(F.lit(0), begin - margin)
-        return [F.substr(F.col("words"), low * 4 + 1, (end + margin - low) * 4).alias(name), low.alias(f"{name}0")]
-
-    x = pieces.join(word, "rid").select("rid", "arid", "segments", *cut(first, last, "a"))
-    x = x.join(word.withColumnRenamed("rid", "arid"), "arid").select("rid", "arid", "segments", "a", "a0", *cut(other, other_last, "b"))
+    ends = ["first_word", "last_word", "other_first", "other_last"]
+    if said is None:
+        pieces = pieces.withColumn("links", F.lit(None).cast("array<array<int>>"))
+    else:
+        link = said.select("rid", "arid", F.array(*ends).alias("x"))
+        link = link.union(said.select("arid", "rid", F.array(*ends[2:], *ends[:2])))
+        pieces = pieces.join(link.groupBy("rid", "arid").agg(F.collect_list("x").alias("links")), ["rid", "arid"], "left")
+
+    def cut(begin: str, end: str, name: str) -> list[Column]:
+        low = F.greatest(F.lit(0), F.array_min(F.expr(f"transform(chains, x -> {begin})")) - margin)
+        return [F.substr(F.col("words"), low * 4 + 1, (F.array_max(F.expr(f"transform(chains, x -> {end})")) + margin - low) * 4).alias(name), low.alias(f"{name}0")]
+
+    end = "x[size(x) - 2]"
+    x = pieces.join(word, "rid").select("rid", "arid", "chains", "links", *cut("x[0]", end, "a"))
+    x = x.join(word.withColumnRenamed("rid", "arid"), "arid").select("rid", "arid", "chains", "links", "a", "a0", *cut("x[2]", f"x[size(x) - 1] + {end} - x[size(x) - 3]", "b"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x.slice(i, 64) for x in batches for i in range(0, x.num_rows, 64)):
             out = []
-            for rid, arid, segments, a, a0, b, b0 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s, e, o, p, alike = aligned(segments, np.frombuffer(a, np.uint32), a0, np.frombuffer(b, np.uint32), b0)
-                if alike >= similarity and min(e - s, p - o) >= least_words:
-                    out.append((rid, s, e, arid, o, p, alike))
+            for rid, arid, chains, links, a, a0, b, b0 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                mine: list[tuple[int, int]] = []
+                theirs: list[tuple[int, int]] = []
+                for s, e, o, p in links or ():
+                    add(mine, s, e)
+                    add(theirs, o, p)
+                for v in sorted(chains, key=lambda v: (v[0] - v[-2], v)):
+                    s, e, o, p = v[0], v[-2], v[2], v[-1] + v[-2] - v[-3]
+                    if not left(mine, s, e) and not left(theirs, o, p):
+                        continue
+                    low, other_low = max(a0, s - margin), max(b0, o - margin)
+                    one, two = matched(v, a[low - a0 : e + margin - a0], b[other_low - b0 : p + margin - b0], low, other_low)
+                    for s, e, o, p, x in alike(one, two, least_words, similarity):
+                        if (rid != arid or s != o) and (left(mine, s, e) or left(theirs, o, p)):
+                            out.append((rid, s, e, arid, o, p, x))
+                            add(mine, s, e)
+                            add(theirs, o, p)
             if out:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in ALIGNED.split(", ")])
@@ -378,8 +439,11 @@ def linked_passages(docs: DataFrame, *, k: int = 5, window: int = 8, least_words
                 yield pieces_of(found)
 
     def pieces_of(found: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["rid", "arid", "segments"])
+        pairs: dict[tuple, list[list[int]]] = {}
+        for rid, arid, x in found:
+            pairs.setdefault((rid, arid), []).append(x)
+        columns = [r for r, _ in pairs], [a for _, a in pairs], list(pairs.values())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32()))), strict=True)], names=["rid", "arid", "chains"])
 
     seed = seeds(docs, k, window)
     held = seed.filter("first").groupBy("h").agg(F.min("rid").alias("arid"), F.min_by("pos", "rid").alias("apos"), F.max("rid").alias("top")).filter("arid <> top").drop("top")
@@ -389,13 +453,13 @@ def linked_passages(docs: DataFrame, *, k: int = 5, window: int = 8, least_words
     pieces = linked.filter("arid is not null")
     found = verified(docs, pieces, least_words, similarity, margin)
 
-    done = found.select("rid", F.col("first_word").alias("s"), F.col("last_word").alias("e")).union(found.select("arid", "other_first", "other_last"))
+    done = found.filter("similarity = 1").select("rid", F.col("first_word").alias("s"), F.col("last_word").alias("e"))  # what equals words of the chosen document is represented there
     done = done.distinct().groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("done"))
-    runs = linked.filter("arid is null").select("rid", "segments").join(done, "rid", "left")
+    runs = linked.filter("arid is null").select("rid", F.flatten("chains").alias("runs")).join(done, "rid", "left")
 
     def left_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r, uncovered(x, [(d["s"], d["e"]) for d in d_ or ()], k, least_words)) for r, x, d_ in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            rows = [(r, uncovered(x, [(d["s"], d["e"]) for d in d_ or ()], 1, least_words)) for r, x, d_ in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             rows = [(r, [v for p in x for v in p]) for r, x in rows if x]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.int32()))], names=["rid", "ranges"])
@@ -403,7 +467,7 @@ def linked_passages(docs: DataFrame, *, k: int = 5, window: int = 8, least_words
     open_ = stored(runs.mapInArrow(left_open, "rid long, ranges array<int>"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):  # some keys a word: few texts at a time
             out: list[list[np.ndarray]] = []
             for rid, ranges, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 word = mix64(np.frombuffer(data, np.uint32).astype(np.uint64) + np.uint64(1))
@@ -412,21 +476,25 @@ def linked_passages(docs: DataFrame, *, k: int = 5, window: int = 8, least_words
                     for at, h, n in long_keys(word[s : e + window], k, window, least_words):
                         out.append([np.full(len(at), rid), at + s, h.view(np.int64), np.full(len(at), n)])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["rid", "pos", "h", "n"])
+                own, at, h, n = (np.concatenate(c) for c in zip(*out, strict=True))
+                order = np.lexsort((at, h, own))
+                first = np.ones(len(own), bool)
+                first[order[1:]] = (h[order[1:]] != h[order[:-1]]) | (own[order[1:]] != own[order[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(at.astype(np.int32)), pa.array(h), pa.array(n.astype(np.int32)), pa.array(first)], names=["rid", "pos", "h", "n", "first"])
 
     text = fetched(docs, open_.select("rid")).dropDuplicates(["rid"])
-    keys = stored(open_.join(text, "rid").select("rid", "ranges", "words").mapInArrow(keyed, "rid long, pos int, h long, n int"))
-    again = keys.groupBy("h", "n").agg(F.max("rid").alias("arid"), F.max_by("pos", F.struct("rid", -F.col("pos"))).alias("apos"), F.min("rid").alias("low")).filter("arid <> low").drop("low")
+    keys = stored(open_.join(text, "rid").select("rid", "ranges", "words").mapInArrow(keyed, "rid long, pos int, h long, n int, first boolean"))
+    again = keys.filter("first").groupBy("h").agg(F.max("rid").alias("arid"), F.max_by("pos", "rid").alias("apos"), F.min("rid").alias("low")).filter("arid <> low").drop("low")
     again = stored(again)
 
     def link_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, 1):
-            if chains := chained(rows, k, window, cost, gap, max(least_chain, least_words * 7 // 10)):  # long keys make long chains
+            if chains := chained(rows, k, window, cost, gap, least_chain):
                 yield pieces_of(chains)
 
-    match = keys.join(again, ["h", "n"]).select("rid", "arid", "pos", "apos", "n")
+    match = keys.join(again, "h").select("rid", "arid", "pos", "apos", "n")
     more = stored(match.repartition("rid").sortWithinPartitions("rid", "arid").mapInArrow(link_again, PIECE))
-    found = found.union(needed(verified(docs, more, least_words, similarity, margin), done, k)).distinct()
+    found = stored(found.union(verified(docs, more, least_words, similarity, margin, found)).distinct())
 
     ids = docs.select(key().alias("rid"), "doc_id")
     names = ids.distinct()

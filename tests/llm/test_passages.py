@@ -137,3 +137,51 @@ def test_chosen_ranges():
                 want.append(i)
                 held |= new
         assert passages.chosen(ranges, done, 4) == want
+
+
+def test_runs_apart_by_other_words(spark):
+    """Two runs that meet the thresholds, with 21 unlike words between: too unlike as one passage, and each is found alone."""
+    rng, body = bodies(21)
+    rows = []
+    for _ in range(30):
+        a, b = body(40), body(40)
+        for _ in range(2):
+            rows.append((len(rows), body(30) + a + body(21) + b + body(30)))
+    got = covered(passages.shared_passages(written(spark, rows)).collect())
+    for i, _ in rows:
+        assert got.get(i, set()) >= set(range(30, 70)) | set(range(91, 131)), i
+
+
+def test_run_that_the_chosen_document_breaks(spark):
+    """A holds B's 124 words and the run of C with 20 words in its midst: C and B share the run whole, whichever hashes lowest."""
+    rng, body = bodies(22)
+    rows = []
+    for _ in range(30):
+        run, rest = body(44), body(80)
+        for text in (run[:22] + body(20) + run[22:] + rest, run + rest, body(30) + run + body(30)):
+            rows.append((len(rows), body(10) + text + body(10)))
+    out = passages.shared_passages(written(spark, rows)).collect()
+    got = covered(out)
+    for i in range(1, 90, 3):
+        assert got.get(i, set()) >= set(range(10, 134)) and got.get(i + 1, set()) >= set(range(40, 84)), i
+        assert any({r.doc_id, r.other_id} == {i, i + 1} for r in out), i
+
+
+def test_parts_of_an_alignment_that_meet_the_thresholds():
+    """Against all pairs of agreeing words."""
+    rng = random.Random(2)
+    for t in range(200):
+        n, least = rng.randrange(1, 90), rng.choice([5, 10, 40])
+        one = np.cumsum([rng.choice([1, 1, 1, 1, 1, 2, 3, 1 if t % 2 else 9]) for _ in range(n)])
+        two = np.cumsum([rng.choice([1, 1, 1, 1, 2, 1]) for _ in range(n)])
+        want: set[int] = set()
+        for p in range(n):
+            for q in range(p, n):
+                x, y = one[q] - one[p] + 1, two[q] - two[p] + 1
+                if min(x, y) >= least and (q - p + 1) / max(x, y) >= 0.8:
+                    want |= set(range(p, q + 1))
+        got: set[int] = set()
+        for s, e, o, p, similarity in passages.alike(one, two, least, 0.8, block=n + 1):
+            assert similarity >= 0.8 and min(e - s, p - o) >= least
+            got |= set(range(int(one.searchsorted(s)), int(one.searchsorted(e))))
+        assert got == want
