@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Functions of this package travel to the executors by value, so that these need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 _scopes: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("scopes", default=())
 
@@ -42,14 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+def stored(df: DataFrame, keep: bool = False, tidy: bool = False) -> DataFrame:
     """Write df once as Parquet into the shared folder and read it back: lineage is cut, and lost executors cost nothing that was written.
 
     The table is deleted at the end of the innermost `passing` block (keep: of the one around it), or else when the driver ends.
+    tidy: the shuffle files of the write go as it ends, not once the driver collects garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if tidy:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     scopes = _scopes.get()
     outer = scopes[:-1] if keep else scopes
     (outer[-1] if outer else _written).append((spark, path))

@@ -37,10 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bit_map, chunks, grams, grouped, in_bit_map, minimizers, mix64, passing, sliding, stored, words
+from ._common import bit_map, chunks, grams, grouped, in_bit_map, minimizers, mix64, passing, stored, words
 
 PIECE = "rid long, arid long, chains array<array<int>>"
-ALIGNED = "rid long, first_word int, last_word int, arid long, other_first int, other_last int, similarity double"
+ALIGNED = "rid long, first_word int, last_word int, arid long, other_first int, other_last int, similarity double, equal array<int>"
+
+
+KIND = 1 << 16  # a key's place and its kind, in one number: words of a window, or beyond least_words the distance of a pair of seeds
 
 
 def key() -> Column:
@@ -181,6 +184,30 @@ def uncovered(runs: list[int], done: list[tuple[int, int]], least: int, around:
     return merged
 
 
+def open_starts(runs: list[int], done: list[tuple[int, int]], window: int, k: int, n: int) -> list[tuple[int, int]]:
+    """Ranges of the places from which n words may be shared that lie in none of the ranges `done` whole; runs: first and last place of held seeds.
+
+    The seeds of n shared words are all held, and there is one in each window: so one in the first window, one in the last and no gap between.
+    """
+    found = [(max(0, s - window + 1), e - (n - k - window + 1) + 1) for s, e in zip(runs[::2], runs[1::2], strict=True)]
+    out: list[tuple[int, int]] = []
+    inside = [(s, e - n + 1) for s, e in sorted(done) if e - s >= n]
+    j = 0
+    for at, end in sorted(x for x in found if x[0] < x[1]):
+        at = max(at, out[-1][1]) if out else at
+        while j < len(inside) and inside[j][1] <= at:
+            j += 1
+        i = j
+        while i < len(inside) and inside[i][0] < end:
+            if inside[i][0] > at:
+                out.append((at, inside[i][0]))
+            at = max(at, inside[i][1])
+            i += 1
+        if at < end:
+            out.append((at, end))
+    return out
+
+
 def common(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     """Places, in either, of a longest common subsequence."""
     rows = [np.zeros(len(b) + 1, np.int32)]
@@ -291,29 +318,52 @@ def alike(one: np.ndarray, two: np.ndarray, least: int, similarity: float, block
     return out
 
 
-def thinned(g: np.ndarray, window: int) -> np.ndarray:
-    return minimizers(g, np.ones(max(0, len(g) - window + 1), bool), window)[0] if len(g) >= window else np.flatnonzero(g == g.min()) if len(g) else np.zeros(0, np.int64)
+def equal_runs(one: np.ndarray, two: np.ndarray, least: int) -> list[int]:
+    """Begins and ends, in the first document, of the runs of `least` words or more that agree word for word."""
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(one) != 1) | (np.diff(two) != 1)]))
+    size = np.diff(np.append(new, len(one)))
+    new, size = new[size >= least], size[size >= least]
+    return np.stack([one[new], one[new] + size], axis=1).ravel().tolist()
+
 
+def thinned(g: np.ndarray, alone: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Places of the least of each `window` of a stretch's hashes of n words; of a stretch with fewer, its least."""
+    m = len(alone) - (n + window - 2)
+    valid = np.zeros(len(g), bool)
+    valid[: max(0, m)] = alone[: max(0, m)] == alone[n + window - 2 :]
+    at = minimizers(np.maximum(g, np.uint64(1)), valid, window)[0]
+    cut = np.flatnonzero(np.diff(alone, prepend=-1, append=-1)) if len(alone) else np.zeros(1, np.int64)
+    few = [(a, b - n + 1) for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False) if n <= b - a < n + window - 1]
+    return np.sort(np.concatenate([at, *(a + np.flatnonzero(g[a:b] == g[a:b].min()) for a, b in few)])) if few else at
 
-def long_keys(word: np.ndarray, k: int, window: int, least: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(places, hashes, words) of the keys of a stretch: its windows, thinned windows of half the length, and pairs of seeds."""
-    alone = np.zeros(len(word), np.int64)
+
+def long_keys(word: np.ndarray, k: int, window: int, least: int, alone: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(places, hashes, words) of the keys of stretches: their windows, thinned windows of half the length, and pairs of seeds, either half of them.
+
+    alone: the number of each word's stretch, rising; None: all are one.
+    """
+    alone = np.zeros(len(word), np.int64) if alone is None else alone
 
     def hashes(n: int) -> np.ndarray:
-        return np.maximum(grams(word, alone, n)[: len(word) - n + 1], np.uint64(1)) if len(word) >= n else word[:0]
+        g = grams(word, alone, n)
+        m = max(0, len(word) - n + 1)
+        return np.where(np.concatenate([alone[:m] == alone[n - 1 :][:m], np.zeros(len(word) - m, bool)]), np.maximum(g, np.uint64(1)), np.uint64(0))
 
     out = []
     whole, half, seed = hashes(least), hashes(least // 2), hashes(k)
-    out.append((np.arange(len(whole)), whole ^ np.uint64(least), least))
-    at = thinned(half, window)
+    at = np.flatnonzero(whole)
+    out.append((at, whole[at] ^ np.uint64(least), least))
+    at = thinned(half, alone, least // 2, window)
     out.append((at, half[at] ^ np.uint64(least // 2), least // 2))
-    at = thinned(seed, window)
-    ahead = sliding(seed, window, np.minimum, np.iinfo(np.uint64).max)  # the least seed of the window that begins there
-    near = at[at + least // 2 < len(ahead)]
-    for p, pair in ((p, mix64(seed[p] + mix64(ahead[p + least // 2]))) for p in [near]):
-        mate = p + least // 2 + np.array([int(np.argmin(seed[q : q + window])) for q in (p + least // 2).tolist()], np.int64)
-        out.append((p, pair, k))
-        out.append((mate, pair ^ np.uint64(1), k))
+    at = thinned(seed, alone, k, window)
+    far = at + least // 2 + window + k - 2  # the last word of the window of seeds in which the mate is sought
+    at = at[far < len(word)]
+    at = at[alone[at] == alone[at + least // 2 + window + k - 2]]
+    ahead = np.lib.stride_tricks.sliding_window_view(seed, window)[at + least // 2] if len(at) else np.zeros((0, window), np.uint64)
+    mate = at + least // 2 + (ahead.argmin(axis=1) if len(at) else at)
+    pair = mix64(seed[at] + mix64(seed[mate]))
+    out.append((at, pair, k))
+    out.append((mate, pair ^ np.uint64(1), k))
     return out
 
 
@@ -374,7 +424,8 @@ def verified(docs: DataFrame, pieces: DataFrame, least_words: int, similarity: f
     """
     word = fetched(docs, pieces.select(F.explode(F.array("rid", "arid")).alias("rid")).distinct())
     ends = ["first_word", "last_word", "other_first", "other_last"]
-    if said is None:
+    first = said is None
+    if first:
         pieces = pieces.withColumn("links", F.lit(None).cast("array<array<int>>"))
     else:
         link = said.select("rid", "arid", F.array(*ends).alias("x"))
@@ -405,16 +456,19 @@ def verified(docs: DataFrame, pieces: DataFrame, least_words: int, similarity: f
                         continue
                     low, other_low = max(a0, s - margin), max(b0, o - margin)
                     one, two = matched(v, a[low - a0 : e + margin - a0], b[other_low - b0 : p + margin - b0], low, other_low)
+                    if rid == arid:  # a copy repeats what comes before it, and no word repeats itself
+                        one, two = one[one > two], two[one > two]
                     for s, e, o, p, x in alike(one, two, least_words, similarity):
-                        if (rid != arid or s != o) and (left(mine, s, e) or left(theirs, o, p)):
-                            out.append((rid, s, e, arid, o, p, x))
+                        if left(mine, s, e) or left(theirs, o, p):
+                            i, j = np.searchsorted(one, (s, e))
+                            out.append((rid, s, e, arid, o, p, x, equal_runs(one[i:j], two[i:j], least_words) if first else []))
                             add(mine, s, e)
                             add(theirs, o, p)
             if out:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in ALIGNED.split(", ")])
 
-    return stored(x.mapInArrow(align, ALIGNED))
+    return stored(x.mapInArrow(align, ALIGNED), tidy=True)
 
 
 def shared_passages(docs: DataFrame, **options) -> DataFrame:
@@ -434,7 +488,9 @@ def linked_passages(docs: DataFrame, *, k: int = 5, window: int = 8, least_words
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, 1):
-            found = chained([*rows, np.full(len(rows[0]), k)], k, window, cost, gap, least_chain) + stretches(rows[0], rows[2], k, gap, least_words - 2 * window)
+            runs = stretches(rows[0], rows[2], k, gap, least_words - 2 * window)
+            whole = {r: x for r, _, x in stretches(rows[0], rows[2], 0, window, 0)}  # without a window that holds no seed
+            found = chained([*rows, np.full(len(rows[0]), k)], k, window, cost, gap, least_chain) + [(r, None, y) for r, _, x in runs for y in (x, whole[r])]
             if found:
                 yield pieces_of(found)
 
@@ -447,54 +503,77 @@ def linked_passages(docs: DataFrame, *, k: int = 5, window: int = 8, least_words
 
     seed = seeds(docs, k, window)
     held = seed.filter("first").groupBy("h").agg(F.min("rid").alias("arid"), F.min_by("pos", "rid").alias("apos"), F.max("rid").alias("top")).filter("arid <> top").drop("top")
-    held = stored(held)  # a plain table: a hot seed can then be split in the join
-    match = seed.select("rid", "pos", "h").join(held, "h").select("rid", "arid", "pos", "apos")
-    linked = stored(match.repartition("rid").sortWithinPartitions("rid", "arid").mapInArrow(link, PIECE))
+    with passing():
+        held = stored(held, tidy=True)  # a plain table: a hot seed can then be split in the join
+        match = seed.select("rid", "pos", "h").join(held, "h").select("rid", "arid", "pos", "apos")
+        linked = stored(match.repartition("rid").sortWithinPartitions("rid", "arid").mapInArrow(link, PIECE), keep=True, tidy=True)
     pieces = linked.filter("arid is not null")
     found = verified(docs, pieces, least_words, similarity, margin)
 
-    done = found.filter("similarity = 1").select("rid", F.col("first_word").alias("s"), F.col("last_word").alias("e"))  # what equals words of the chosen document is represented there
-    done = done.distinct().groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("done"))
-    runs = linked.filter("arid is null").select("rid", F.flatten("chains").alias("runs")).join(done, "rid", "left")
+    # what equals words of the chosen document is represented there
+    done = found.filter("size(equal) > 0").groupBy("rid").agg(F.flatten(F.collect_set("equal")).alias("done"))
+    runs = linked.filter("arid is null").select("rid", F.col("chains")[0].alias("runs"), F.col("chains")[1].alias("whole")).join(done, "rid", "left")
 
     def left_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r, uncovered(x, [(d["s"], d["e"]) for d in d_ or ()], 1, least_words)) for r, x, d_ in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            rows = [(r, [v for p in x for v in p]) for r, x in rows if x]
+            rows = []
+            for r, x, w, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = list(zip(d[::2], d[1::2], strict=True)) if d else []
+                starts = [open_starts(w, held, window, k, n) for n in (least_words, least_words // 2)]
+                wide = uncovered([v for p in sorted([*uncovered(x, held, 1, least_words), *((s, e + least_words - 1) for s, e in starts[0])]) for v in p], [], 1, 0)
+                if wide:
+                    rows.append((r, *([v for p in y for v in p] for y in (wide, *starts))))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.int32()))], names=["rid", "ranges"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] + [pa.list_(pa.int32())] * 3, strict=True)], names=["rid", "ranges", "whole", "half"])
 
-    open_ = stored(runs.mapInArrow(left_open, "rid long, ranges array<int>"))
+    def inside(ranges: list[int], n: int) -> np.ndarray:
+        step = np.zeros(n + 1, np.int32)
+        np.add.at(step, np.minimum(ranges[::2], n).astype(np.int64), 1)
+        np.add.at(step, np.minimum(ranges[1::2], n).astype(np.int64), -1)
+        return np.cumsum(step)[:n] > 0
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):  # some keys a word: few texts at a time
-            out: list[list[np.ndarray]] = []
-            for rid, ranges, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                word = mix64(np.frombuffer(data, np.uint32).astype(np.uint64) + np.uint64(1))
+            part: list[tuple[np.ndarray, ...]] = []
+            for rid, ranges, whole, half, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                word = np.frombuffer(data, np.uint32)
+                may = inside(whole, len(word)), inside(half, len(word))
                 for s, e in zip(ranges[::2], ranges[1::2], strict=True):
-                    s = max(0, s - window)  # a stretch begins with a seed, up to a window after what is shared
-                    for at, h, n in long_keys(word[s : e + window], k, window, least_words):
-                        out.append([np.full(len(at), rid), at + s, h.view(np.int64), np.full(len(at), n)])
-            if out:
-                own, at, h, n = (np.concatenate(c) for c in zip(*out, strict=True))
-                order = np.lexsort((at, h, own))
-                first = np.ones(len(own), bool)
-                first[order[1:]] = (h[order[1:]] != h[order[:-1]]) | (own[order[1:]] != own[order[:-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(at.astype(np.int32)), pa.array(h), pa.array(n.astype(np.int32)), pa.array(first)], names=["rid", "pos", "h", "n", "first"])
-
-    text = fetched(docs, open_.select("rid")).dropDuplicates(["rid"])
-    keys = stored(open_.join(text, "rid").select("rid", "ranges", "words").mapInArrow(keyed, "rid long, pos int, h long, n int, first boolean"))
-    again = keys.filter("first").groupBy("h").agg(F.max("rid").alias("arid"), F.max_by("pos", "rid").alias("apos"), F.min("rid").alias("low")).filter("arid <> low").drop("low")
-    again = stored(again)
+                    at = np.arange(max(0, s - window), min(e + window, len(word)))  # a stretch begins with a seed, up to a window after what is shared
+                    part.append((word[at], at, np.full(len(at), rid), np.full(len(at), len(part)), may[0][at], may[1][at]))
+            if not part:
+                continue
+            word, place, rids, alone, *may = (np.concatenate(c) for c in zip(*part, strict=True))
+            (a, x, n), (b, y, m), (c, z, _), (mate, _, _) = long_keys(mix64(word.astype(np.uint64) + np.uint64(1)), k, window, least_words, alone)
+            a, x, b, y = a[may[0][a]], x[may[0][a]], b[may[1][b]], y[may[1][b]]  # no other document can hold the rest
+            at, h = np.concatenate([a, b, c]), np.concatenate([x, y, z]).view(np.int64)
+            kind = np.concatenate([np.full(len(a), n), np.full(len(b), m), least_words + mate - c])
+            own, at = rids[at], place[at] * KIND + kind
+            order = np.lexsort((at, h, own))
+            first = np.ones(len(own), bool)
+            first[order[1:]] = (h[order[1:]] != h[order[:-1]]) | (own[order[1:]] != own[order[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(h), pa.array(at), pa.array(first)], names=["rid", "h", "at", "first"])
 
     def link_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, 1):
-            if chains := chained(rows, k, window, cost, gap, least_chain):
+        for rid, arid, at, other in grouped(batches, 1):
+            pos, apos, n, m = at // KIND, other // KIND, at % KIND, other % KIND
+            pair = n > least_words  # a pair of seeds: its first and, so many words on, its second
+            size = np.where(pair, k, n)
+            rows = [rid, arid, pos, apos, size], [rid[pair], arid[pair], (pos + n - least_words)[pair], (apos + m - least_words)[pair], size[pair]]
+            rows = [np.concatenate(c) for c in zip(*rows, strict=True)]
+            order = np.lexsort((rows[1], rows[0]))
+            if chains := chained([c[order] for c in rows], k, window, cost, gap, least_chain):
                 yield pieces_of(chains)
 
-    match = keys.join(again, "h").select("rid", "arid", "pos", "apos", "n")
-    more = stored(match.repartition("rid").sortWithinPartitions("rid", "arid").mapInArrow(link_again, PIECE))
-    found = stored(found.union(verified(docs, more, least_words, similarity, margin, found)).distinct())
+    with passing():
+        open_ = stored(runs.mapInArrow(left_open, "rid long, ranges array<int>, whole array<int>, half array<int>"), tidy=True)
+        text = fetched(docs, open_.select("rid")).dropDuplicates(["rid"])
+        keys = stored(open_.join(text, "rid").select("rid", "ranges", "whole", "half", "words").mapInArrow(keyed, "rid long, h long, at long, first boolean"), tidy=True)
+        again = keys.filter("first").groupBy("h").agg(F.max("rid").alias("arid"), F.max_by("at", "rid").alias("other"), F.min("rid").alias("low")).filter("arid <> low").drop("low")
+        again = stored(again, tidy=True)
+        match = keys.join(again, "h").select("rid", "arid", "at", "other")
+        more = stored(match.repartition("rid").sortWithinPartitions("rid", "arid").mapInArrow(link_again, PIECE), keep=True, tidy=True)
+    found = stored(found.union(verified(docs, more, least_words, similarity, margin, found)).drop("equal").distinct(), tidy=True)
 
     ids = docs.select(key().alias("rid"), "doc_id")
     names = ids.distinct()

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from runstore.llm import passages
+from runstore.llm import _common, passages
 from runstore.llm._common import words
 
 DOCS = "doc_id long, text string, rid string, pos string"
@@ -185,3 +185,44 @@ def test_parts_of_an_alignment_that_meet_the_thresholds():
             assert similarity >= 0.8 and min(e - s, p - o) >= least
             got |= set(range(int(one.searchsorted(s)), int(one.searchsorted(e))))
         assert got == want
+
+
+def test_windows_that_cross_two_equal_runs(spark):
+    """A1 and A2 hold words 0-50 and 30-80 of what B and C share in part: no word of B is open, yet its words 20-60 are shared with C alone."""
+    rng, body = bodies(23)
+    rows = []
+    for _ in range(12):
+        passage = body(80)
+        for text in (passage[:50], passage[30:], passage, passage[18:62]):
+            rows.append((len(rows), body(20) + text + body(20)))
+    got = covered(passages.shared_passages(written(spark, rows)).collect())
+    for i in range(0, len(rows), 4):
+        assert got.get(i + 2, set()) >= set(range(20, 100)) and got.get(i + 3, set()) >= set(range(20, 64)), i
+
+
+def test_open_starts():
+    """Against every place, one by one."""
+    rng = random.Random(6)
+    for _ in range(300):
+        runs = sorted(rng.sample(range(200), 4))
+        done = [(a, a + rng.randrange(30, 90)) for a in (rng.randrange(150) for _ in range(rng.randrange(4)))]
+        want = {x for s, e in zip(runs[::2], runs[1::2], strict=True) for x in range(max(0, s - 7), e - 28 + 1) if not any(a <= x and x + 40 <= b for a, b in done)}
+        got = passages.open_starts(runs, done, 8, 5, 40)
+        assert {x for s, e in got for x in range(s, e)} == want
+
+
+def test_runs_of_one_word(spark):
+    """43 and 41 times the same word, in two documents that share nothing else: its last two words are found, too."""
+    rng, body = bodies(24)
+    rows = [(0, body(60) + ["ingth"] * 43), (1, body(30) + ["ingth"] * 41 + body(30))]
+    got = covered(passages.shared_passages(written(spark, rows)).collect())
+    assert got == {0: set(range(60, 103)), 1: set(range(30, 71))}
+
+
+def test_tidy_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+    before = shuffles()
+    out = _common.stored(spark.range(1000).repartition(3, "id"), tidy=True)
+    assert shuffles() == before and out.count() == 1000
