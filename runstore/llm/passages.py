@@ -14,8 +14,9 @@ Where an alignment as a whole falls short of that, its parts that meet both boun
 Seeds alone can miss a pair: if other documents hold each half of a passage, either half may be joined to one of them, and
 no chain is long enough. So a second round takes every stretch of seeds that others hold and joins it by longer keys, to the
 document with the greatest key: all its windows of `least_words` words, windows of half as many (thinned), and pairs of seeds some
-way apart. Left out are only stretches that equal, word for word, words of the document that the first round joined them to: those are
-represented there. So all documents that hold a window of `least_words` words share it with the chosen one, or equal one that does, and
+way apart. Left out are only windows inside a run that equals, word for word, words of the document that the first round joined them to: those are
+represented there; and windows that no other document can hold, as the seeds in them aren't all held. So all documents that hold a window
+of `least_words` words share it with the chosen one, or equal one that does, and
 any two documents with such a run are linked, whoever holds parts of it or is linked otherwise. No link is dropped: of a pair, only
 further passages go that cover no new word of either document.
 
