@@ -25,6 +25,10 @@ from .files import Files
 MOST_RANGES = 100_000
 #: Up to so many files a batched get opens all, and a read goes through the cache.
 FEW_FILES = 16
+#: Bytes of a data file that hold no rows: its schema, statistics and offsets.
+FOOTER_BYTES = 2 << 10
+#: A compaction has more tasks than the session's shuffles if each would otherwise write more than this.
+TASK_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -171,17 +175,18 @@ class Store:
                 self.refresh()
         raise Conflict("too many other writers")
 
-    def _write(self, rows: DataFrame, first_id: int, parts: int | None = None) -> list[File]:
+    def _write(self, rows: DataFrame, first_id: int, parts: int | None = None, per_file: int = 0) -> list[File]:
         """Write rows, sorted by key, as files of about target_bytes; returns them in key order.
 
-        Without a number of parts, Spark joins small parts of the shuffle up to target_bytes.
+        Without a number of parts, Spark joins small parts of the shuffle up to target_bytes. A part of more than per_file rows (0: any) makes several files.
         """
         folder = f"{self.path}/runs/run={first_id:05d}-{self.files.jvm.java.util.UUID.randomUUID().toString()[:8]}"
         rows = rows.select("key", "seq", "op", "value")
         out = (rows.repartitionByRange("key") if parts is None else rows.repartitionByRange(parts, "key")).sortWithinPartitions("key")
-        writer = out.write.option("compression", self.options.compression)
+        writer = out.write.option("compression", self.options.compression).option("maxRecordsPerFile", per_file)
         if self.options.bloom:
-            writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")  # else a megabyte for any file
+            # else a megabyte for any file; the sizes to choose from halve from there, and with fewer of them the least is 64 KB
+            writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.candidates.number#key", "16")
         with settings(self.spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(self.options.target_bytes), "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(min(1 << 20, self.options.target_bytes)), "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}):
             writer.parquet(folder)
         stats = self.spark.read.schema(VERSION).parquet(folder).groupBy(F.col("_metadata.file_path").alias("path")).agg(
@@ -292,8 +297,10 @@ class Store:
         # a delete may go only if no file outside the task holds older versions
         rest = [i for _, ids in self.snapshot.state.levels for i in ids if i not in set(task.inputs())] if task.kind == "tiered" else []
         bottom = task.bottom and not (task.kind == "tiered" and rest and task.tiers[-1][0] != self.snapshot.state.levels[-1][0])
-        parts = max(1, -(-sum(f.bytes for f in files) // self.options.target_bytes))
-        out = self._write(compacted(rows, bottom), self.snapshot.next_id, parts)
+        # rows of a file by the inputs' bytes a row: versions that the merge drops make fewer files, not smaller ones
+        size, n = sum(max(1, f.bytes - FOOTER_BYTES) for f in files), sum(f.rows for f in files)
+        parts = min(-(-size // self.options.target_bytes), max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES)))
+        out = self._write(compacted(rows, bottom), self.snapshot.next_id, parts, -(-n * self.options.target_bytes // size))
         ids = tuple(f.id for f in out)
         snap = self.snapshot
         state = replace(snap.state, files={**snap.state.files, **{f.id: f for f in out}})

@@ -306,6 +306,24 @@ def test_runs_trigger_not_files(spark, tmp_path):
     assert len(one.snapshot.state.l0) == 1  # small parts are joined up to target_bytes
 
 
+def test_compaction_keeps_the_size_of_files(spark, tmp_path):
+    """Neither what each file holds besides its rows nor versions that a merge drops make for more and smaller files."""
+    target = 16 << 10
+    s = Store(spark, str(tmp_path), Options(policy=Simple(200, 2, 3), target_bytes=target))
+    for n in range(4):
+        s.ingest(spark.range(1500).selectExpr("format_string('k%05d', id) key", f"sha2('{n}-' || id, 256) value", "id seq"))
+    before = len(s.snapshot.state.files)
+    assert s.maintain() == 3
+    files = [s.snapshot.state.files[i] for i in s.snapshot.state.level(3)]
+    assert len(files) == len(s.snapshot.state.files) < before and sum(f.rows for f in files) == 1500
+    assert max(f.bytes for f in files) < 1.5 * target and sum(f.bytes for f in files) > 0.4 * target * len(files)
+    got = rows(s.scan())
+    assert len(got) == 1500 and got == [(r.key, r.v) for r in spark.range(1500).selectExpr("format_string('k%05d', id) key", "sha2('3-' || id, 256) v").orderBy("key").collect()]
+    small = Store(spark, str(tmp_path / "small"))
+    small.put("k", "v"), small.flush()
+    assert next(iter(small.snapshot.state.files.values())).bytes < 4 << 10  # its filter is sized to its rows
+
+
 def test_scan_and_get_plans(spark, tmp_path):
     s = Store(spark, str(tmp_path), Options(target_bytes=8_000))
     for n in range(4):
