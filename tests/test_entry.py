@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from runstore.plans import catalogue
+from runstore.sources.store import settings
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +31,13 @@ def test_query_against_sql(spark, sf_dir, duck, name):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+def test_replay_of_runs_of_several_files(spark, sf_dir):
+    with settings(spark, {"spark.sql.adaptive.enabled": "false"}):  # so that a run is a file for each part of the shuffle, as large ones are
+        got = catalogue.QUERIES["ingest_replayed"](spark, sf_dir)
+        assert len(got.inputFiles()) > 8
+        assert sorted(got.collect()) == sorted(catalogue.QUERIES["live_view"](spark, sf_dir).select("key", "value").collect())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
