@@ -52,8 +52,8 @@ def level_counts(files: DataFrame) -> DataFrame:
 
 
 def out_of_order(files: DataFrame) -> DataFrame:
-    """Files that break a level's order: their range is inverted, or reaches the next file's."""
-    following = F.lead("first_key").over(W.partitionBy("level").orderBy("first_key", "last_key"))
+    """Files that break a level's order: their range is inverted, or reaches the next file's. Of equal ranges the one with the largest id comes last."""
+    following = F.lead("first_key").over(W.partitionBy("level").orderBy("first_key", "last_key", "id"))
     return files.withColumn("next_first", following).filter("first_key > last_key or last_key >= next_first")
 
 

@@ -33,3 +33,10 @@ def test_catalogue_checks(spark):
     assert sorted(r.id for r in fl.out_of_order(files).collect()) == [1, 4]
     pairs = fl.overlapping(files.filter("level = 1"), files.filter("level = 1")).filter("a_id < b_id").collect()
     assert [(r.a_id, r.b_id) for r in pairs] == [(1, 2)]
+
+
+def test_equal_ranges_go_by_id(spark):
+    rows = [(i, i % 2, "a", "z") for i in (7, 2, 5, 0, 3, 6, 1, 4)]
+    for order in (rows, rows[::-1]):
+        files = spark.createDataFrame(order, "id int, level int, first_key string, last_key string").coalesce(1)
+        assert sorted(r.id for r in fl.out_of_order(files).collect()) == [0, 1, 2, 3, 4, 5]
